@@ -1,6 +1,7 @@
 """Substring deduplication by sliding sentence spans.
 
-A text is cut into sentences (after ``. ! ?`` and the like before white space, and at line ends). From every sentence, a
+A text is cut into sentences (after ``. ! ?`` and the like before white space, and at line ends); one of over ``LONG`` words
+is cut further, behind words that a hash picks, so that equal passages are cut alike wherever they stand. From every sentence, a
 span runs forward to the first sentence where it has ``least_sentences`` and ``least_words``, and another runs backward in
 the same way. A span is hashed over its words, lower-cased; spans meet globally by hash, and the sentences of each span that
 is not the first of its hash, in the order of id, text hash and position, are removed with the white space behind them.
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from zlib import crc32
 
 import pyarrow as pa
 import xxhash
@@ -29,15 +31,39 @@ LEAST_WORDS = 20
 BREAK = re.compile(r"[.!?…。！？]+[\"'”’»)\]]*\s+|\n\s*")
 
 
+_WORD = re.compile(r"\S+\s*")
+#: A longer sentence is cut behind every word whose hash has no remainder by ``EACH``, and behind ``MOST`` words without one.
+LONG, EACH, MOST = 25, 12, 40
+
+
+def _cut(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    words = list(_WORD.finditer(text, start, end))
+    if len(words) <= LONG:
+        return [(start, end)]
+    out, at, n = [], start, 0
+    for w in words:
+        n += 1
+        if n >= MOST or crc32(w[0].rstrip().lower().encode()) % EACH == 0:
+            out.append((at, w.end()))
+            at, n = w.end(), 0
+    if at < end:
+        out.append((at, end))
+    return out
+
+
 def sentences(text: str) -> list[tuple[int, int]]:
     """``[start, end)`` of each sentence with its trailing white space; together they cover the text from its first word on."""
     at = len(text) - len(text.lstrip())
     out = []
     for found in BREAK.finditer(text, at):
-        out.append((at, found.end()))
-        at = found.end()
+        end = found.end()
+        if end - at > 2 * LONG:
+            out += _cut(text, at, end)
+        else:
+            out.append((at, end))
+        at = end
     if at < len(text):
-        out.append((at, len(text)))
+        out += _cut(text, at, len(text))
     return out
 
 
