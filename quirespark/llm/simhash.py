@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirespark.llm.common import FLUSH_BYTES, arrow_schema, components, dropped, map_rows, slices, utf8, written
+from quirespark.llm.common import FLUSH_BYTES, arrow_schema, components, dropped, map_rows, slices, text_key, utf8, written
 
 SHINGLE = 4
 MOST_BITS = 4
@@ -75,15 +75,15 @@ def fingerprints(texts: list[bytes]) -> np.ndarray:
 
 
 def with_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows ``(key, fp)``: the fingerprint as a signed long."""
-    ddl = f"{key} {docs.schema[key].dataType.simpleString()}, fp long"
+    """Rows ``(key, th, fp)``: 31 bits of the text's hash, and the fingerprint as a signed long."""
+    ddl = f"{key} {docs.schema[key].dataType.simpleString()}, th long, fp long"
     schema = arrow_schema(ddl)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", FLUSH_BYTES // 4):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprints(utf8(batch.column(1))).view(np.int64))], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fingerprints(utf8(batch.column(2))).view(np.int64))], schema=schema)
 
-    return map_rows(docs.select(key, F.col(text).cast("string").alias("text")), ddl, made)
+    return map_rows(docs.select(key, text_key(text).alias("th"), F.col(text).cast("string").alias("text")), ddl, made)
 
 
 def variants(fps: DataFrame) -> DataFrame:
@@ -189,8 +189,8 @@ def classes(fps: DataFrame, most: int = MOST_BITS, block: int = BLOCK) -> DataFr
     return found.select(F.col("node").alias("fp"), "root").unionAll(found.select(F.col("root").alias("fp"), "root").distinct())
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = MOST_BITS) -> DataFrame:
-    """One row for each row of ``docs``: the key, ``fp`` (signed long) and ``component_id``, the smallest key reachable by links.
+def classed(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = MOST_BITS) -> DataFrame:
+    """Rows ``(key, th, fp, root, component_id)``: a class is named by ``root``, its smallest fingerprint as a signed long.
 
     Equal fingerprints are first counted as one, so a group of copies, however large, enters the search once. Rows join
     their class on the fingerprint; a hot fingerprint is split by adaptive execution, as the class side has one row for it.
@@ -200,17 +200,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", mo
     found = classes(groups.select("fp"), most)
     named = groups.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     low = named.join(found.select("fp"), "fp", "left_semi").groupBy("root").agg(F.min("low").alias("lowest"))
-    names = named.join(low, "root", "left").select("fp", F.coalesce("lowest", "low").alias("component_id"))
-    return prints.join(names, "fp").select(key, "fp", "component_id")
+    names = named.join(low, "root", "left").select("fp", "root", F.coalesce("lowest", "low").alias("component_id"))
+    return prints.join(names, "fp").select(key, "th", "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = MOST_BITS) -> DataFrame:
+    """One row for each row of ``docs``: the key, ``fp`` and ``component_id``, the smallest key reachable by links."""
+    return classed(docs, key, text, most).select(key, "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = MOST_BITS) -> DataFrame:
-    """``docs`` with one document of each class of near copies: the one with the smallest key (of equal keys, one row).
+    """``docs`` with one document of each class of near copies: the one with the smallest key that is not null.
 
-    All columns stay. Ids are compared null-safely; rows that repeat the key and text of the kept one go too.
+    All columns stay. Of rows with that key and text one stays; of several texts with that key, the one with the smallest hash.
     """
-    names = docs.columns
-    marked = near_duplicates(docs.select(key, text), key, text, most)
-    kept = marked.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__quire_id")).distinct()
-    chosen = docs.join(kept, docs[key].eqNullSafe(kept["__quire_id"]), "left_semi")
-    return chosen.dropDuplicates([key]).select(*names)
+    first = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), "th")).alias("first")
+    kept = classed(docs.select(key, text), key, text, most).groupBy("root").agg(first).select(F.col("first.id").alias("__quire_id"), F.col("first.th").alias("__quire_th"))
+    keyed = docs.withColumn("__quire_key", text_key(text))
+    chosen = keyed.join(kept, keyed[key].eqNullSafe(kept["__quire_id"]) & (keyed["__quire_key"] == kept["__quire_th"]), "left_semi")
+    return chosen.dropDuplicates([key, "__quire_key"]).drop("__quire_key")
