@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from quirespark.llm.common import arrow_schema, map_rows, slices, text_key, with_columns
+from quirespark.llm.common import arrow_schema, map_rows, slices, text_key, with_columns, written
 
 LEAST_SENTENCES = 2
 LEAST_WORDS = 20
@@ -122,10 +122,11 @@ def occurrences(docs: DataFrame, key: str, text: str, least_sentences: int, leas
 def repeated(found: DataFrame) -> DataFrame:
     """Rows ``(id, th, places)``: the spans of a document that are not the first of their hash.
 
-    The first place of a hash is one aggregate, combined before its exchange, kept only where the hash occurs twice. The
-    later places join it on the hash; a hot passage's places are split by adaptive execution.
+    The first place of a hash is one aggregate, combined before its exchange, kept only where the hash occurs twice. It is
+    written to the shared folder, so that both sides of the join are plain exchanges, which adaptive execution can split
+    where a hot passage has many places; an aggregate in the join's own stage would forbid that.
     """
-    first = found.groupBy("span").agg(F.min(F.struct("id", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first, _ = written(found.groupBy("span").agg(F.min(F.struct("id", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "spans")
     later = found.join(first, "span").where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("place") == F.col("first.place"))))
     return later.select("id", F.shiftright("place", 32).alias("th"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("at")).groupBy("id", "th").agg(F.collect_set("at").alias("places"))
 
