@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from quirespark.llm.common import arrow_schema, map_rows, slices, text_key, utf8, with_columns
+from quirespark.llm.common import arrow_schema, map_rows, slices, text_key, utf8, with_columns, written
 
 GRAM = 2
 WINDOW = 2
@@ -81,10 +81,11 @@ def _shared(mine: str, first: str) -> F.Column:
 def covered(found: DataFrame, gram: int = GRAM) -> DataFrame:
     """Rows ``(id, th, runs)``: the lines, as ``[first, end)``, that matches with an earlier place cover.
 
-    The first occurrence is one aggregate a gram, combined before its exchange; a hot gram's later occurrences join it
-    on the gram, where adaptive execution splits them.
+    The first occurrence is one aggregate a gram, combined before its exchange, and written to the shared folder: a hot
+    gram's later occurrences join it on the gram, and adaptive execution splits them only where both sides of the join are
+    plain exchanges.
     """
-    first = found.groupBy("gram").agg(F.min(F.struct("id", "th", "at", "before", "after")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first, _ = written(found.groupBy("gram").agg(F.min(F.struct("id", "th", "at", "before", "after")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "grams")
     met = found.join(first, "gram").where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th")) & (F.col("at") == F.col("first.at"))))
     left, right = _shared("before", "first.before"), _shared("after", "first.after")
     return met.select("id", "th", F.struct((F.col("at") - left).alias("a"), (F.col("at") + gram + right).alias("b")).alias("run")).groupBy("id", "th").agg(F.collect_set("run").alias("runs"))
