@@ -34,12 +34,12 @@ def covered(word: str, by: str) -> Column:
 
 def to_grid(value: Column, size: Column) -> Column:
     """Pixels to the page-relative grid, cut to whole numbers."""
-    return F.floor(value * GRID / size).cast("int")
+    return F.floor(value.cast("long") * GRID / size).cast("int")
 
 
 def from_grid(value: Column, size: Column) -> Column:
     """The grid to pixels, rounded."""
-    return F.floor(value * size / GRID + 0.5).cast("int")
+    return F.floor(value.cast("long") * size / GRID + 0.5).cast("int")
 
 
 def padded(rect: str, by: int, width: Column, height: Column) -> Column:

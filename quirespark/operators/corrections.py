@@ -49,9 +49,10 @@ def undone(corrections: DataFrame, number: int, rev: int) -> DataFrame:
 
 def ignored_suggestions(suggestions: DataFrame, username: str, first_rev: int) -> DataFrame:
     """A user's suggestions ignored, each at a new revision from ``first_rev`` on, in their order."""
+    hit = F.coalesce(F.col("username") == username, F.lit(False))
     order = Window.partitionBy("username").orderBy("rev")
-    mine = F.col("username") == username
-    return suggestions.withColumns({"ignore": mine | F.col("ignore"), "rev": F.when(mine, F.lit(first_rev) + F.row_number().over(order) - 1).otherwise(F.col("rev"))})
+    mine = suggestions.where(hit).withColumns({"ignore": F.lit(True), "rev": (F.lit(first_rev) + F.row_number().over(order) - 1).cast(suggestions.schema["rev"].dataType)})
+    return suggestions.where(~hit).unionByName(mine)
 
 
 def to_reindex(documents: DataFrame, suggestions: DataFrame, corrections: DataFrame, links: DataFrame, indexed: DataFrame, indexed_corrections: DataFrame) -> DataFrame:

@@ -69,9 +69,14 @@ def word_groups(words: DataFrame) -> DataFrame:
 
 
 def group_text(words: DataFrame, docs: DataFrame) -> DataFrame:
-    """Rows ``(rev, group_no, start_offset, end_offset, text)`` of the groups, cut from the documents' text."""
+    """Rows ``(rev, group_no, start_offset, end_offset, text)`` of the groups, cut from the documents' text.
+
+    A document's groups meet its text as one array, so the text travels once, not with each of them.
+    """
     spans = word_groups(words).groupBy("rev", "group_no").agg(F.min("start_offset").alias("start_offset"), F.max("end_offset").alias("end_offset"))
-    return spans.join(docs.select("rev", F.col("text").alias("__text")), "rev").withColumn("text", F.substring("__text", F.col("start_offset") + 1, F.col("end_offset") - F.col("start_offset"))).drop("__text")
+    own = spans.groupBy("rev").agg(F.collect_list(F.struct("group_no", "start_offset", "end_offset")).alias("__groups"))
+    cut = F.transform("__groups", lambda x: F.struct(x["group_no"].alias("group_no"), x["start_offset"].alias("start_offset"), x["end_offset"].alias("end_offset"), F.substring(F.col("__text"), x["start_offset"] + 1, x["end_offset"] - x["start_offset"]).alias("text")))
+    return own.join(docs.select("rev", F.col("text").alias("__text")), "rev").select("rev", F.inline(cut))
 
 
 def words_in_row_of(words: DataFrame, spans: DataFrame) -> DataFrame:
@@ -102,7 +107,7 @@ def logical_page(text: F.Column) -> F.Column:
     """The printed page number: the first, second or last paragraph that is digits only."""
     parts = F.transform(F.split(F.trim(text), "\n\n+"), lambda x: F.trim(x))
     pick = [F.try_element_at(parts, F.lit(i)) for i in (1, 2, -1)]
-    return F.coalesce(*[F.when(x.rlike(r"^[0-9]+$"), x.cast("int")) for x in pick])
+    return F.coalesce(*[F.when(x.rlike(r"^[0-9]+$"), x.try_cast("int")) for x in pick])
 
 
 def suggested(words: DataFrame, suggestions: DataFrame, pages: DataFrame, least: float = 0.75) -> DataFrame:

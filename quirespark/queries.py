@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quirespark.functions import geometry
 from quirespark.functions import text as ft
 from quirespark.operators import corrections, layout, snippets, stats, store
 from quirespark.operators.search import Engine, plain_postings, with_keywords
@@ -240,17 +241,32 @@ def document_lengths(spark, d):
     return index(spark, d).doc_stats().select("doc_ref", "dl")
 
 
-@query(f"WITH {TOK} SELECT doc_ref, term, position::INTEGER AS position FROM tok WHERE doc_ref IN ('d1', 'd2', 'd3')")
+@query(f"WITH {TOK} SELECT doc_ref, term, position::INTEGER AS position FROM tok")
 def postings(spark, d):
-    return index(spark, d).postings.where(F.col("doc_ref").isin("d1", "d2", "d3")).select("doc_ref", "term", "position")
+    return index(spark, d).postings.select("doc_ref", "term", "position")
 
 
-@query()
+#: Tokens with offsets: runs of letters and digits, every other character alone; punctuation does not advance the position.
+ANALYSED = r"""a0 AS (SELECT 'd' || doc_id AS doc_ref, regexp_extract_all(text, '[\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}\s]|\s+') AS ps FROM documents),
+a1 AS (SELECT doc_ref, unnest(ps) AS piece, unnest(range(len(ps))) AS i FROM a0),
+a2 AS (SELECT *, sum(length(piece)) OVER w - length(piece) AS start, sum(length(piece) - length(replace(piece, chr(10), ''))) OVER w AS nl FROM a1 WINDOW w AS (PARTITION BY doc_ref ORDER BY i)),
+a3 AS (SELECT *, regexp_full_match(piece, '[\p{P}\p{S}]+') AND NOT regexp_matches(piece, '[=+$%€°£#<>]') AS punct, row_number() OVER (PARTITION BY doc_ref ORDER BY i) AS n FROM a2 WHERE NOT regexp_full_match(piece, '\s+')),
+an AS (SELECT doc_ref, 'Text' AS field, lower(piece) AS term, CASE WHEN punct THEN 'punct' ELSE 'word' END AS kind, (sum(CASE WHEN punct AND n > 1 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_ref ORDER BY i) - 1)::INTEGER AS position,
+  start::INTEGER AS start, (start + length(piece))::INTEGER AS "end", 0 AS page_no, nl::INTEGER AS row_no FROM a3)"""
+
+
+@query(f"WITH {ANALYSED} SELECT * FROM an")
 def analysed_tokens(spark, d):
     """Tokens with offsets, rows and punctuation by the language's patterns."""
     return ft.token_table(corpus(spark, d).select("doc_ref", "text"))
 
 
+@query(f'WITH {ANALYSED} SELECT field, term, start, "end", position FROM an WHERE doc_ref = \'d5\' AND start >= 10 AND start < 200')
+def document_terms(spark, d):
+    docs = corpus(spark, d).select("doc_ref", "text")
+    return Engine(Index(docs, ft.token_table(docs))).list_terms("d5", 10, 200)
+
+
 def _log(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "events").select(F.col("event_id").alias("id"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("username"), F.col("ts").alias("executed"))
 
@@ -311,13 +327,13 @@ def row_at_or_after_offset(spark, d):
 
 
 @query(
-    f"""WITH {TURNS}, s AS (SELECT rev, row_no AS span, page_no, row_no AS a, start_offset + 400 AS z FROM tr WHERE row_no % 2 = 1),
+    f"""WITH {TURNS}, s AS (SELECT rev, row_no AS span, page_no, row_no AS a, start_offset + 400 AS z FROM tr),
 e AS (SELECT s.rev, s.span, s.page_no, s.a, arg_max(tr.page_no, start_offset) AS last_page, arg_max(tr.row_no, start_offset) AS b FROM s JOIN tr ON tr.rev = s.rev AND tr.start_offset < s.z GROUP BY ALL)
 SELECT e.span, tr.rev, tr.page_no, tr.row_no, tr.start_offset FROM e JOIN tr ON tr.rev = e.rev AND tr.page_no = e.page_no AND tr.row_no BETWEEN a AND b WHERE last_page = e.page_no"""
 )
 def rows_between_offsets(spark, d):
     turns = _turns(spark, d).select("rev", "page_no", "row_no", "start_offset")
-    spans = turns.where("row_no % 2 = 1").select("rev", F.col("row_no").alias("span"), F.col("start_offset").alias("from_offset"), (F.col("start_offset") + 400).alias("to_offset"))
+    spans = turns.select("rev", F.col("row_no").alias("span"), F.col("start_offset").alias("from_offset"), (F.col("start_offset") + 400).alias("to_offset"))
     return layout.rows_between(turns, spans)
 
 
@@ -338,17 +354,102 @@ def row_rectangles(spark, d):
 
 
 @query(
-    """WITH w0 AS (SELECT 'd' || doc_id AS rev, text, regexp_extract_all(text, '[^ ]+| +') AS ps FROM documents WHERE doc_id < 50 AND text NOT LIKE '%' || chr(10) || '%'),
-p AS (SELECT rev, text, unnest(ps) AS piece, unnest(range(len(ps))) AS i FROM w0), o AS (SELECT rev, piece, (sum(length(piece)) OVER (PARTITION BY rev ORDER BY i) - length(piece))::INTEGER AS start_offset FROM p)
-SELECT rev, start_offset, (start_offset + length(piece))::INTEGER AS end_offset, piece AS text FROM o WHERE piece NOT LIKE ' %'"""
+    """WITH w0 AS (SELECT 'd' || doc_id AS rev, regexp_extract_all(text, '\\S+|\\s+') AS ps FROM documents),
+p AS (SELECT rev, unnest(ps) AS piece, unnest(range(len(ps))) AS i FROM w0), o AS (SELECT rev, piece, (sum(length(piece)) OVER (PARTITION BY rev ORDER BY i) - length(piece))::INTEGER AS start_offset FROM p)
+SELECT rev, start_offset, (start_offset + length(piece))::INTEGER AS end_offset, piece AS text FROM o WHERE regexp_full_match(piece, '\\S+')"""
 )
 def word_group_texts(spark, d):
-    """Tokens that touch make groups, which without line ends are what stands between spaces."""
-    docs = corpus(spark, d).where((F.substring("doc_ref", 2, 10).cast("int") < 50) & ~F.col("text").contains("\n"))
+    """Tokens that touch make groups, which are what stands between white space."""
+    docs = corpus(spark, d)
     words = ft.token_table(docs.select("doc_ref", "text")).select(F.col("doc_ref").alias("rev"), F.col("start").alias("start_offset"), F.col("end").alias("end_offset"))
     return layout.group_text(words, docs.select(F.col("doc_ref").alias("rev"), "text")).select("rev", "start_offset", "end_offset", "text")
 
 
+@query(
+    f"""WITH {TURNS}, w AS (SELECT rev, start_offset, row_no // 3 AS row_no, row_no // 6 AS page_no FROM tr),
+f AS (SELECT rev, arg_min(page_no, start_offset) AS page_no, arg_min(row_no, start_offset) AS row_no FROM w WHERE start_offset >= 100 GROUP BY 1)
+SELECT w.rev, w.page_no::INTEGER AS page_no, w.row_no::INTEGER AS row_no, w.start_offset FROM w JOIN f ON f.rev = w.rev AND f.page_no = w.page_no AND f.row_no = w.row_no"""
+)
+def words_of_row(spark, d):
+    """Turns as words, three a row: the whole row of the first word at or after an offset."""
+    words = _turns(spark, d).select("rev", "start_offset", F.floor(F.col("row_no") / 3).cast("int").alias("row_no"), F.floor(F.col("row_no") / 6).cast("int").alias("page_no"))
+    return layout.words_in_row_of(words, _ends(spark, d).withColumnRenamed("at", "offset")).select("rev", "page_no", "row_no", "start_offset")
+
+
+@query(
+    """WITH l0 AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), l AS (SELECT 'd' || doc_id AS doc_ref, unnest(ls) AS line, unnest(range(len(ls))) AS row_no FROM l0),
+w0 AS (SELECT doc_ref, row_no, string_split(line, ' ') AS ws FROM l), w AS (SELECT doc_ref, row_no, unnest(ws) AS content, unnest(range(len(ws))) AS word_no FROM w0)
+SELECT doc_ref, row_no::INTEGER AS row_no, word_no::INTEGER AS word_no, greatest(word_no * 100 - 5, 0)::INTEGER AS "left", greatest(row_no * 10 - 5, 0)::INTEGER AS top,
+  (word_no * 100 + 10 * length(content) + 5 - greatest(word_no * 100 - 5, 0))::INTEGER AS width, (row_no * 10 + 15 - greatest(row_no * 10 - 5, 0))::INTEGER AS height FROM w WHERE content <> ''"""
+)
+def word_crops(spark, d):
+    """A margin of five around each word, within the page."""
+    far = F.lit(100_000_000)
+    cut = _words(spark, d).withColumn("crop", geometry.padded("rect", 5, far, far))
+    return cut.select("doc_ref", "row_no", "word_no", "crop.left", "crop.top", "crop.width", "crop.height")
+
+
+@query("SELECT l_orderkey, l_linenumber, floor(l_linenumber * 10000 / (l_suppkey + 100))::INTEGER AS grid, floor(floor(l_linenumber * 10000 / (l_suppkey + 100)) * (l_suppkey + 100) / 10000 + 0.5)::INTEGER AS pixels FROM lineitem")
+def grid_round_trip(spark, d):
+    size = F.col("l_suppkey") + 100
+    grid = geometry.to_grid(F.col("l_linenumber"), size)
+    return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", grid.alias("grid"), geometry.from_grid(grid, size).alias("pixels"))
+
+
+@query(
+    f"""WITH {LINES}, w0 AS (SELECT doc_ref, row_no, string_split(line, ' ') AS ws FROM l), w AS (SELECT doc_ref, row_no, unnest(ws) AS content, unnest(range(len(ws))) AS i FROM w0),
+k AS (SELECT doc_ref, row_no, i, content, i * 100 AS x, length(content) * 10 AS width FROM w WHERE content <> ''),
+s AS (SELECT *, CASE WHEN row_no % 2 = 0 AND least(x + width, 300) - greatest(x, 100) > 0.75 * width THEN row_no * 2 + 1 WHEN least(x + width, 200) - x > 0.75 * width THEN row_no * 2 END AS rev FROM k)
+SELECT doc_ref, row_no * 100000 + i AS word_no, CASE WHEN rev = lag(rev) OVER (PARTITION BY doc_ref, row_no // 20 ORDER BY row_no, i) THEN '' WHEN rev IS NOT NULL THEN 's' || rev ELSE content END AS content FROM s"""
+)
+def suggested_words(spark, d):
+    """Each row has a suggestion for its first two places; every other row a newer one for the second and third."""
+    words = _words(spark, d).select(
+        "doc_ref", "row_no", F.floor(F.col("row_no") / 20).alias("page_no"), (F.col("row_no").cast("long") * 100_000 + F.col("word_no")).alias("word_no"), "content",
+        geometry.rectangle(F.col("rect.left"), F.col("row_no") % 20 * 10, F.col("rect.width"), F.col("rect.height")).alias("rect"),
+    )
+    each = words.select("doc_ref", "page_no", "row_no").distinct().withColumn("newer", F.explode(F.when(F.col("row_no") % 2 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    rev = (F.col("row_no") * 2 + F.col("newer")).cast("long")
+    made = each.select("doc_ref", "page_no", rev.alias("rev"), F.lit(False).alias("ignore"), F.concat(F.lit("s"), rev.cast("string")).alias("suggestion"), geometry.rectangle(F.col("newer") * 100, F.col("row_no") % 20 * 10, F.lit(200), F.lit(10)).alias("grid"))
+    pages = words.select("doc_ref", "page_no").distinct().withColumns({"width": F.lit(geometry.GRID), "height": F.lit(geometry.GRID)})
+    return layout.suggested(words, made, pages).select("doc_ref", "word_no", "content")
+
+
+@query(
+    """WITH c AS (SELECT conv_id AS rev, turn AS line_no, turn // 4 AS page_no, regexp_extract_all(text, '[^ ]+| +') AS ps FROM conversations),
+p AS (SELECT rev, page_no, line_no, unnest(ps) AS content, unnest(range(len(ps))) AS ord FROM c),
+z AS (SELECT *, length(content) + (line_no IS DISTINCT FROM lead(line_no) OVER w)::INTEGER + (page_no IS DISTINCT FROM lead(page_no) OVER w)::INTEGER AS size FROM p WINDOW w AS (PARTITION BY rev ORDER BY line_no, ord)),
+o AS (SELECT *, length(rev::VARCHAR) + 1 + sum(size) OVER (PARTITION BY rev ORDER BY line_no, ord) - size AS start_offset FROM z)
+SELECT rev, line_no::INTEGER AS line_no, ord::INTEGER AS ord, content, start_offset::INTEGER AS start_offset, (start_offset + length(content))::INTEGER AS end_offset FROM o"""
+)
+def layout_offsets(spark, d):
+    """Conversations as layout files: four turns a page, a turn a line, words and spaces its pieces."""
+    turn = _t(spark, d, "conversations").select(F.col("conv_id").alias("rev"), F.col("turn").cast("int").alias("line_no"), F.posexplode(F.regexp_extract_all("text", F.lit("([^ ]+| +)"), 1)).alias("ord", "content"))
+    pieces = turn.select("rev", F.length(F.col("rev").cast("string")).alias("ref_length"), F.floor(F.col("line_no") / 4).alias("page_no"), F.lit(0).alias("block_no"), "line_no", "ord", "content")
+    return layout.flattened(pieces).select("rev", "line_no", "ord", "content", "start_offset", "end_offset")
+
+
+@query(
+    f"""WITH {TURNS}, t AS (SELECT rev, start_offset AS s, start_offset + 60 AS e FROM tr), n AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY rev ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM t),
+g AS (SELECT *, sum(new) OVER (PARTITION BY rev ORDER BY s) AS island FROM n) SELECT 'c' || rev AS doc_ref, min(s)::INTEGER AS start, max(e)::INTEGER AS "end", count(*)::DOUBLE AS score FROM g GROUP BY rev, island"""
+)
+def merged_highlights(spark, d):
+    """Tokens of sixty characters from the beginning of each turn: those that touch are one highlight."""
+    tokens = _turns(spark, d).select(F.concat(F.lit("c"), F.col("rev").cast("string")).alias("doc_ref"), F.col("start_offset").alias("start"), (F.col("start_offset") + 60).alias("end"), F.lit(1.0).alias("score"))
+    return snippets.merged(tokens)
+
+
+_DIGITS = ", ".join(f"CASE WHEN regexp_full_match(trim(p[{i}]), '[0-9]+') THEN TRY_CAST(trim(p[{i}]) AS INTEGER) END" for i in ("1", "2", "len(p)"))
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, string_split_regex(trim(CASE WHEN turn % 2 = 0 THEN turn || chr(10) || chr(10) || text ELSE text || chr(10) || chr(10) || turn END), '\n\n+') AS p FROM conversations) SELECT conv_id, turn, coalesce({_DIGITS}, -1) AS page FROM t""")
+def logical_pages(spark, d):
+    """Printed page numbers above or below the text of a page."""
+    number = F.col("turn").cast("string")
+    text = F.when(F.col("turn") % 2 == 0, F.concat(number, F.lit("\n\n"), "text")).otherwise(F.concat("text", F.lit("\n\n"), number))
+    return _t(spark, d, "conversations").select("conv_id", "turn", F.coalesce(layout.logical_page(text), F.lit(-1)).alias("page"))
+
+
 @query(
     f"""WITH {TOK}, {LINES}, rt AS (SELECT doc_ref, row_no, len(regexp_extract_all(lower(line), '[\\p{{L}}\\p{{M}}\\p{{N}}]+')) AS n FROM l),
 hit AS (SELECT DISTINCT doc_ref, row_no FROM (SELECT doc_ref, row_no, unnest(regexp_extract_all(lower(line), '[\\p{{L}}\\p{{M}}\\p{{N}}]+')) AS term FROM l) WHERE term IN ('loser', 'moron')),
@@ -399,11 +500,12 @@ def text_as_html(spark, d):
 
 
 @query(
-    """WITH p AS (SELECT conv_id AS doc_ref, turn::INTEGER AS page_no, text FROM conversations WHERE turn % 3 <> 1), b AS (SELECT doc_ref, unnest(range(min(page_no), max(page_no) + 1))::INTEGER AS page_no FROM p GROUP BY doc_ref)
+    """WITH p AS (SELECT conv_id AS doc_ref, (turn + turn // 2)::INTEGER AS page_no, text FROM conversations), b AS (SELECT doc_ref, unnest(range(min(page_no), max(page_no) + 1))::INTEGER AS page_no FROM p GROUP BY doc_ref)
 SELECT doc_ref, page_no, coalesce(text, '') AS text FROM b LEFT JOIN p USING (doc_ref, page_no)"""
 )
 def missing_pages(spark, d):
-    return layout.all_pages(_t(spark, d, "conversations").where("turn % 3 <> 1").select(F.col("conv_id").alias("doc_ref"), F.col("turn").cast("int").alias("page_no"), "text"))
+    """Turns numbered with a gap behind every second one."""
+    return layout.all_pages(_t(spark, d, "conversations").select(F.col("conv_id").alias("doc_ref"), (F.col("turn") + F.floor(F.col("turn") / 2)).cast("int").alias("page_no"), "text"))
 
 
 @query("SELECT conv_id AS rev, max(turn)::INTEGER AS page_no, (turn // 2)::INTEGER AS start_offset FROM conversations GROUP BY conv_id, turn // 2")
@@ -439,6 +541,18 @@ def correction_everywhere(spark, d):
     return corrections.correction_targets(corpus(spark, d), "d7", "Author", True)
 
 
+@query(f"WITH {CORR}, un AS (SELECT doc_ref, field, new_value, ignore OR id = 5 AS ignore, CASE WHEN id = 5 THEN 900000000 ELSE rev END AS rev FROM cr) SELECT doc_ref, field, max(rev) AS rev, arg_max(new_value, rev) AS new_value FROM un WHERE NOT ignore GROUP BY 1, 2")
+def undone_correction(spark, d):
+    table, links = _corrections(spark, d)
+    return corrections.latest(corrections.undone(table, 5, 900_000_000), links)
+
+
+@query("SELECT 'u' || user_id AS username, user_id = 7 AS ignore, CASE WHEN user_id = 7 THEN 900000000 + row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 ELSE event_id END AS rev FROM events")
+def ignored_suggestions(spark, d):
+    made = _t(spark, d, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("username"), F.lit(False).alias("ignore"), F.col("event_id").alias("rev"))
+    return corrections.ignored_suggestions(made, "u7", 900_000_000)
+
+
 def _revisions(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     e, table = _t(spark, d, "events"), _corrections(spark, d)
     ref = F.concat(F.lit("d"), (F.col("user_id") % 200).cast("string"))
@@ -505,6 +619,36 @@ def deleted_documents(spark, d):
     return store.deleted(r["indexed"], r["suggestions"].where("rev % 10 = 3").select(F.col("doc_ref").alias("reference")), ["reference"]).select("reference", "doc_rev")
 
 
+@query("SELECT conv_id, turn FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations GROUP BY 1 HAVING count(*) >= 4)")
+def cascaded_delete(spark, d):
+    """Long conversations go, and their turns with them."""
+    turns = _t(spark, d, "conversations").select(F.col("conv_id").alias("rev"), "turn")
+    pages, *_ = store.cascaded(turns.groupBy("rev").count().where("count >= 4"), turns, turns, turns)
+    return pages.select(F.col("rev").alias("conv_id"), "turn")
+
+
+@query("SELECT n_nationkey::BIGINT AS rev, n_name AS reference FROM nation UNION ALL SELECT (SELECT max(n_nationkey) FROM nation) + row_number() OVER (ORDER BY r_name), r_name FROM region")
+def appended_documents(spark, d):
+    table = _t(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("rev"), F.col("n_name").alias("reference"))
+    return store.appended(table, _t(spark, d, "region").select(F.col("r_name").alias("reference")), "rev", "reference")
+
+
+@query("SELECT arg_max(value, event_id) AS preference FROM events WHERE user_id = 7 AND event_type = 'click' HAVING count(*) > 0")
+def preference_of_user(spark, d):
+    """The newest event of each kind is a user's preference."""
+    e = _t(spark, d, "events")
+    kept = e.groupBy(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("username"), F.col("event_type").alias("key")).agg(F.max_by("value", "event_id").alias("preference"))
+    return store.preference(kept, "u7", "click")
+
+
+@query("SELECT o_orderkey, o_orderkey % 2 = 0 AS hard FROM orders")
+def hard_hyphens(spark, d):
+    """Words cut at their hyphen; in every second order the joined word has kept it."""
+    first, second = F.lit("well-"), F.lit("known")
+    joined = F.when(F.col("o_orderkey") % 2 == 0, F.lit("well-known")).otherwise(F.lit("wellknown"))
+    return _t(spark, d, "orders").select("o_orderkey", ft.hard_hyphen(first, second, joined).alias("hard"))
+
+
 @query("SELECT c_name, CASE WHEN c_name > 'Customer#000001000' THEN 'z' WHEN c_name > 'Customer#000000500' THEN 'y' ELSE 'x' END AS directory FROM customer")
 def content_directories(spark, d):
     from quirespark.sources.metadata import content_directory
