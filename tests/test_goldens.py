@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quirespark import errors
 from quirespark.functions import text as ft
+from quirespark.functions.geometry import from_grid, to_grid
 from quirespark.languages import ENGLISH, PLAIN, YIDDISH, Language
 from quirespark.operators import corrections, layout, snippets, stats, store
 from quirespark.operators.search import Engine, index_of
@@ -138,6 +139,30 @@ def test_snippets(engine):
     assert shown(engine, "are", 0, True) == ['<span offset="14">How </span><b><span offset="18">are</span></b><span offset="21"> you?</span>']
 
 
+def test_highlighted_pages(spark):
+    """Highlights count from their page's start; those that touch are one, and a page without any has none."""
+    rows = spark.createDataFrame([("d", 0, 0, "one two", 0, 7), ("d", 0, 1, "three", 8, 13), ("d", 1, 2, "four five", 14, 23), ("d", 2, 3, "six", 24, 27)], "doc_ref string, page_no int, row_no int, line string, start_offset int, end_offset int")
+    hits = spark.createDataFrame([("d", 4, 7), ("d", 14, 18), ("d", 18, 23), ("d", 8, 13)], "doc_ref string, start int, end int")
+    found = {r.page_no: (r.text, [(h["start"], h["end"]) for h in r.highlights or ()]) for r in snippets.highlighted_pages(rows, hits).collect()}
+    assert found == {0: ("one two\nthree", [(4, 7), (8, 13)]), 1: ("four five", [(0, 9)]), 2: ("six", [])}
+
+
+def test_layout_values(spark):
+    """A page number too long for an integer is none; far places of large pages do not overflow; groups keep their text."""
+    one = spark.createDataFrame([("99999999999\n\nx", 9_999, 300_000)], "t string, v int, size int")
+    row = one.select(layout.logical_page(F.col("t")).alias("n"), from_grid(F.col("v"), F.col("size")).alias("a"), to_grid(F.lit(299_970), F.col("size")).alias("b")).first()
+    assert (row.n, row.a, row.b) == (None, 299_970, 9_999)
+    words_ = spark.createDataFrame([(1, 0, 2), (1, 2, 3), (1, 4, 6)], "rev int, start_offset int, end_offset int")
+    texts = spark.createDataFrame([(1, "ab! cd")], "rev int, text string")
+    assert sorted((r.start_offset, r.end_offset, r.text) for r in layout.group_text(words_, texts).collect()) == [(0, 3, "ab!"), (4, 6, "cd")]
+
+
+def test_ignored_suggestions(spark):
+    table = spark.createDataFrame([("a", False, 1), ("b", False, 2), ("a", False, 3), (None, False, 4)], "username string, ignore boolean, rev int")
+    found = corrections.ignored_suggestions(table, "a", 10).collect()
+    assert sorted((r.username or "", r.ignore, r.rev) for r in found) == [("", False, 4), ("a", True, 10), ("a", True, 11), ("b", False, 2)]
+
+
 def test_snippet_islands_against_a_walk(spark):
     """Random rows and padding: islands against joining rows one by one."""
     import random
