@@ -4,18 +4,23 @@ A 64-bit fingerprint is cut into three segments. Two fingerprints that differ in
 bit of some segment (4 < 3 * 2), so they agree on that segment with one bit left out. Every fingerprint is indexed under
 each segment as it stands and under each segment with one bit deleted; equal keys meet and are verified on all 64 bits.
 
+Texts that are similar, rather than fingerprints that are close, take the same index over a longer fingerprint of five-word
+shingles (:func:`similar_classes`): 15 segments of 18 bits, each with one bit left out. Two texts whose shingle sets have a
+similarity of 0.8 differ in about 15 % of the bits, so they agree on some segment but for one bit with a probability of
+over 0.98. What meets there is verified on the shingle sets themselves.
+
 Null and empty texts have fingerprint zero. Rows keep their number: repeated rows get the same class. A null id never
 names a class unless all ids of the class are null. Columns of other names are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirespark.llm.common import FLUSH_BYTES, arrow_schema, components, dropped, map_rows, slices, text_key, utf8, written
@@ -27,6 +32,18 @@ SEED = 42
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Members of one key that a task compares at once; larger keys are compared block by block.
 BLOCK = 4096
+#: Words in a shingle and least similarity of two texts' shingle sets, for :func:`similar_classes`.
+SIMILAR_SHINGLE = 5
+SIMILARITY = 0.8
+#: The longer fingerprint: words of 64 bits, and the segments taken from each.
+WORDS = 5
+WIDE_SEGMENTS = ((0, 18), (18, 18), (36, 18))
+#: Bits of the first two words in which candidates differ at most: 19 are expected at 0.8, with a deviation of 4.
+MOST_OF_128 = 34
+#: Runs of up to so many rows are first compared by offsets, all runs of a piece at once.
+SHORT_RUN = 512
+#: Index rows that a task takes in hand at once, but for the rest of the last key.
+PIECE = 1 << 16
 #: A table of hot keys is broadcast up to this many rows of 16 bytes, and joined by an exchange beyond.
 MOST_BROADCAST = 100_000
 
@@ -52,22 +69,47 @@ def shingle_hashes(raw: bytes, size: int = SHINGLE) -> list[int]:
 
 
 def fingerprints(texts: list[bytes]) -> np.ndarray:
-    """A bit is one if it is one in over half of a text's shingle hashes. Counts eight bits at once in the bytes of a word."""
-    hashes = [shingle_hashes(x) for x in texts]
+    """A bit is one if it is one in over half of a text's shingle hashes."""
+    flat, counts = _hashes(texts, SHINGLE)
+    return _majority(flat, counts)
+
+
+def wide_fingerprints(texts: list[bytes], size: int = SIMILAR_SHINGLE, words: int = WORDS) -> list[np.ndarray]:
+    """``words`` fingerprints of 64 bits, each of the shingle hashes mixed anew; no shingle gives zeros."""
+    flat, counts = _hashes(texts, size)
+    return [_majority(_mixed(flat, i), counts) for i in range(words)]
+
+
+def _hashes(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingle hashes of all texts in a row, and their number by text."""
+    hashes = [shingle_hashes(x, size) for x in texts]
     counts = np.array([len(h) for h in hashes], dtype=np.int64)
-    out = np.zeros(len(texts), dtype=np.uint64)
-    total = int(counts.sum())
-    if not total:
+    return np.fromiter((x for h in hashes for x in h), dtype=np.uint64, count=int(counts.sum())), counts
+
+
+def _mixed(flat: np.ndarray, number: int) -> np.ndarray:
+    """The hashes for word ``number``: a multiplication by an odd number between two folds spreads all bits."""
+    if not number:
+        return flat
+    odd = np.uint64(xxhash.xxh64_intdigest(b"word", number) | 1)
+    folded = (flat ^ (flat >> np.uint64(32))) * odd
+    folded = (folded ^ (folded >> np.uint64(29))) * odd
+    return folded ^ (folded >> np.uint64(32))
+
+
+def _majority(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """One fingerprint for each of ``counts``. Counts eight bits at once in the bytes of a word."""
+    out = np.zeros(len(counts), dtype=np.uint64)
+    if not len(flat):
         return out
-    flat = np.fromiter((x for h in hashes for x in h), dtype=np.uint64, count=total)
     ends = np.cumsum(counts)
     starts = ends - counts
     pieces = [np.arange(s, e, 255) for s, e in zip(starts.tolist(), ends.tolist())]
     cuts = np.concatenate(pieces)
-    owner = np.repeat(np.arange(len(texts)), [len(p) for p in pieces])
+    owner = np.repeat(np.arange(len(counts)), [len(p) for p in pieces])
     for bit in range(8):
         lanes = np.add.reduceat((flat >> np.uint64(bit)) & _LANES, cuts).view(np.uint8).reshape(-1, 8).astype(np.int64)
-        ones = np.zeros((len(texts), 8), dtype=np.int64)
+        ones = np.zeros((len(counts), 8), dtype=np.int64)
         np.add.at(ones, owner, lanes)
         for lane in range(8):
             out |= (2 * ones[:, lane] > counts).astype(np.uint64) << np.uint64(8 * lane + bit)
@@ -135,52 +177,64 @@ def _runs(keys: np.ndarray, fps: np.ndarray, most: int) -> tuple[np.ndarray, np.
     return np.concatenate(members), np.concatenate(roots)
 
 
-def _met(index: DataFrame, most: int) -> DataFrame:
-    """Edges ``(a, b)`` among rows with equal keys; each partition holds whole keys, in order."""
+def _met(index: DataFrame, edges: Callable[..., tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """Rows ``(a, b)`` that ``edges(keys, *words)`` gives for rows with equal keys; each partition holds whole keys, in order."""
     schema = arrow_schema("a long, b long")
+    width = len(index.columns)
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key, held_fp = np.empty(0, np.int64), np.empty(0, np.int64)
+        held, n = [], 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held_key = np.concatenate((held_key, batch.column(0).to_numpy(zero_copy_only=False)))
-            held_fp = np.concatenate((held_fp, batch.column(1).to_numpy(zero_copy_only=False)))
-            cut = int(np.searchsorted(held_key, held_key[-1]))
+            held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(width)])
+            n += batch.num_rows
+            if n < PIECE:
+                continue
+            rows = [np.concatenate(c) for c in zip(*held)]
+            cut = int(np.searchsorted(rows[0], rows[0][-1]))
+            held = [[c[cut:] for c in rows]]
+            # A key longer than a piece waits for its end, and for as much again before the next look.
+            n = 0 if cut else n // 2
             if cut:
-                yield edges(held_key[:cut], held_fp[:cut])
-                held_key, held_fp = held_key[cut:], held_fp[cut:]
-        if len(held_key):
-            yield edges(held_key, held_fp)
+                n = len(held[0][0])
+                yield found([c[:cut] for c in rows])
+        if held:
+            yield found([np.concatenate(c) for c in zip(*held)])
 
-    def edges(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        both = np.unique(np.stack(_runs(key, fp, most)), axis=1)
+    def found(rows: list[np.ndarray]) -> pa.RecordBatch:
+        both = np.unique(np.stack(edges(*rows)), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], schema=schema)
 
-    return index.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(verified, "a long, b long")
+    return index.repartition("bucket").sortWithinPartitions(*index.columns).mapInArrow(verified, "a long, b long")
 
 
-def links(fps: DataFrame, most: int = MOST_BITS, block: int = BLOCK) -> DataFrame:
-    """Edges ``(a, b)`` that connect distinct fingerprints exactly as all their links within ``most`` bits do.
+def _linked(index: DataFrame, edges: Callable[..., tuple[np.ndarray, np.ndarray]], block: int) -> DataFrame:
+    """Rows ``(a, b)`` that ``edges`` gives for the rows of ``index (bucket, fp, ...)`` whose keys are equal.
 
     Equal keys meet by one exchange and are verified in the order of the keys. Keys that over ``block`` fingerprints share
     are counted first (the count is combined before its exchange) and kept out of that exchange: their members are dealt to
     blocks by a hash, and each pair of blocks becomes a key of its own, so a task never holds more than about ``block``
     members of a key and no pair is left out. No pairs are listed: a key gives the edges of a spanning forest.
     """
-    index = variants(fps)
+    own = index.columns[1:]
     hot, path = written(index.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > block), "hot")
     n_hot = hot.count()
     if not n_hot:
-        dropped(fps.sparkSession, path)
-        return _met(index.select("bucket", "fp"), most)
+        dropped(index.sparkSession, path)
+        return _met(index, edges)
     small = F.broadcast(hot) if n_hot <= MOST_BROADCAST else hot
-    usual = _met(index.join(small.select("bucket"), "bucket", "left_anti").select("bucket", "fp"), most)
+    usual = _met(index.join(small.select("bucket"), "bucket", "left_anti").select("bucket", *own), edges)
     # Half a block each, so that a pair of blocks is a block; the number of blocks follows the count.
     dealt = index.join(small, "bucket").withColumn("blocks", F.ceil(F.col("n") * 2 / block).cast("long")).withColumn("mine", F.pmod(F.xxhash64("fp"), "blocks"))
-    dealt = dealt.select("bucket", "fp", "mine", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")).where("mine <> other")
-    paired = dealt.select(F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("bucket"), "fp")
-    return usual.unionAll(_met(paired, most))
+    dealt = dealt.select("bucket", *own, "mine", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")).where("mine <> other")
+    paired = dealt.select(F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("bucket"), *own)
+    return usual.unionAll(_met(paired, edges))
+
+
+def links(fps: DataFrame, most: int = MOST_BITS, block: int = BLOCK) -> DataFrame:
+    """Edges ``(a, b)`` that connect distinct fingerprints exactly as all their links within ``most`` bits do."""
+    return _linked(variants(fps), lambda keys, prints: _runs(keys, prints, most), block)
 
 
 def classes(fps: DataFrame, most: int = MOST_BITS, block: int = BLOCK) -> DataFrame:
@@ -209,13 +263,152 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", mo
     return classed(docs, key, text, most).select(key, "fp", "component_id")
 
 
+def wide_variants(prints: DataFrame) -> DataFrame:
+    """Rows ``(bucket, fp, w1)`` for the words ``fp, w1, ...`` of longer fingerprints: every segment without each of its bits.
+
+    Segments that agree wholly agree without any bit, so whole segments need no key of their own.
+    """
+    keys, number = [], 0
+    for word in ("fp", *(f"w{i}" for i in range(1, WORDS))):
+        for first, width in WIDE_SEGMENTS:
+            for left_out in range(width):
+                rest = F.shiftrightunsigned(word, first).bitwiseAND(F.lit(((1 << width) - 1) ^ (1 << left_out)))
+                keys.append(rest.bitwiseOR(F.lit(number << 32)))
+                number += 1
+    return prints.select("fp", "w1", F.explode(F.array(*keys)).alias("bucket")).select("bucket", "fp", "w1")
+
+
+def _closest(keys: np.ndarray, one: np.ndarray, two: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a minimum spanning forest of the links within ``most`` of 128 bits, for each run of equal keys.
+
+    The least distances are kept, as they are the likeliest to hold when the texts are compared.
+    """
+    sizes = np.diff(np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True]))))
+    long_run = np.repeat(sizes > SHORT_RUN, sizes)
+    near = long_run.copy()
+    short = np.flatnonzero(~long_run)
+    k, x, y = keys[short], one[short].view(np.uint64), two[short].view(np.uint64)
+    for apart in range(1, SHORT_RUN):
+        at = np.flatnonzero(k[apart:] == k[:-apart])
+        if not len(at):
+            break
+        hit = at[np.bitwise_count(x[at] ^ x[at + apart]) + np.bitwise_count(y[at] ^ y[at + apart]) <= most]
+        near[short[hit]] = near[short[hit + apart]] = True
+    keys, one, two = keys[near], one[near], two[near]
+    ends = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True]))) if len(keys) else np.zeros(1, np.int64)
+    members, roots = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for start, end in zip(ends[:-1].tolist(), ends[1:].tolist()):
+        child, parent = _forest(one[start:end].view(np.uint64), two[start:end].view(np.uint64), most)
+        members.append(one[start:end][child])
+        roots.append(one[start:end][parent])
+    return np.concatenate(members), np.concatenate(roots)
+
+
+def _forest(one: np.ndarray, two: np.ndarray, most: int) -> tuple[list[int], list[int]]:
+    """Places (child, parent) of a minimum spanning forest, grown from a place by its nearest neighbour outside."""
+    least = np.full(len(one), 255, dtype=np.uint8)
+    parent = np.zeros(len(one), dtype=np.int64)
+    outside = np.arange(1, len(one))
+    children, parents, at = [], [], 0
+    while len(outside):
+        far = np.bitwise_count(one[outside] ^ one[at]) + np.bitwise_count(two[outside] ^ two[at])
+        closer = far < least[outside]
+        least[outside[closer]] = far[closer]
+        parent[outside[closer]] = at
+        place = int(least[outside].argmin())
+        at = int(outside[place])
+        outside = np.delete(outside, place)
+        if least[at] <= most:
+            children.append(at)
+            parents.append(int(parent[at]))
+    return children, parents
+
+
+def similarity(one: bytes, two: bytes, size: int = SIMILAR_SHINGLE) -> float:
+    """Shared part of two texts' shingle sets; 1 where neither has a word."""
+    a, b = set(shingle_hashes(one, size)), set(shingle_hashes(two, size))
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """The rows ``(a, b)`` of ``pairs`` whose whole texts, found in ``texts (node, text)``, are similar."""
+    schema = arrow_schema("a long, b long")
+
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = pa.array([similarity(x, y) >= least for x, y in zip(utf8(batch.column(2)), utf8(batch.column(3)))], type=pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], schema=schema)
+
+    one = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    two = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+    return map_rows(pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b"), "a long, b long", checked)
+
+
+def _node(text: str) -> Column:
+    """64 bits of the text's hash name a text; null is empty."""
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
+def similar_classes(docs: DataFrame, text: str = "text", least: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """Rows ``(node, root)`` for texts, named by 64 bits of their hash, that links of similar texts join to another text.
+
+    Fingerprints are made of all rows and counted as one where their first words are equal. Candidates are the nearest
+    neighbours among equal keys, and the texts with equal first words; each is verified on the whole texts, and only
+    those in question are read again. A link that no key shows as a nearest neighbour is lost; tests measure how many.
+    """
+    ddl = "node long, fp long, " + ", ".join(f"w{i} long" for i in range(1, WORDS))
+    schema = arrow_schema(ddl)
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", FLUSH_BYTES // 4):
+            words = wide_fingerprints(utf8(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(w.view(np.int64)) for w in words)], schema=schema)
+
+    named = docs.select(_node(text).alias("node"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    prints, _ = written(map_rows(named, ddl, made).distinct(), "wide")
+    first = F.min(F.struct("node", *(f"w{i}" for i in range(1, WORDS)))).alias("first")
+    groups, _ = written(prints.groupBy("fp").agg(first).select("fp", "first.*"), "wide-groups")
+    near = _linked(wide_variants(groups), lambda keys, one, two: _closest(keys, one, two, MOST_OF_128), block)
+    near, _ = written(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near")
+    of_a = groups.select(F.col("fp").alias("a"), F.col("node").alias("node_a"))
+    of_b = groups.select(F.col("fp").alias("b"), F.col("node").alias("node_b"))
+    apart = near.join(of_a, "a").join(of_b, "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    equal = prints.select("fp", F.col("node").alias("b")).join(of_a.withColumnRenamed("a", "fp"), "fp").where("b <> node_a").select(F.col("node_a").alias("a"), "b")
+    pairs, _ = written(apart.unionAll(equal), "pairs")
+    asked = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+    texts, _ = written(named.join(asked, "node", "left_semi").dropDuplicates(["node"]), "texts")
+    found = components(_similar(pairs, texts, least))
+    return found.unionAll(found.select(F.col("root").alias("node"), "root").distinct())
+
+
+def one_of_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
+    """``docs`` with one document of each class of similar texts, five-word shingles and 0.8 unless said otherwise.
+
+    The document with the smallest key that is not null stays, with all its columns; equal texts are similar, and texts
+    without a word are similar to each other. Rows that repeat both its key and its text leave.
+    """
+    found, _ = written(similar_classes(docs.select(text), text, least), "similar")
+    rows = docs.select(F.col(key), text_key(text).alias("th"), _node(text).alias("node"))
+    first = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), "th")).alias("first")
+    # The least row of each text is found before classes are joined, so copies of a text cross no exchange twice.
+    texts = rows.groupBy("node").agg(first).join(found, "node", "left")
+    kept = texts.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
+    return _kept(docs, kept, key, text)
+
+
+def _kept(docs: DataFrame, kept: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows of ``docs`` that ``first (none, id, th)`` of ``kept`` names, each once."""
+    named = kept.select(F.col("first.id").alias("__quire_id"), F.col("first.th").alias("__quire_th"))
+    keyed = docs.withColumn("__quire_key", text_key(text))
+    chosen = keyed.join(named, keyed[key].eqNullSafe(named["__quire_id"]) & (keyed["__quire_key"] == named["__quire_th"]), "left_semi")
+    return chosen.dropDuplicates([key, "__quire_key"]).drop("__quire_key")
+
+
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = MOST_BITS) -> DataFrame:
     """``docs`` with one document of each class of near copies: the one with the smallest key that is not null.
 
     All columns stay. Of rows with that key and text one stays; of several texts with that key, the one with the smallest hash.
     """
     first = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), "th")).alias("first")
-    kept = classed(docs.select(key, text), key, text, most).groupBy("root").agg(first).select(F.col("first.id").alias("__quire_id"), F.col("first.th").alias("__quire_th"))
-    keyed = docs.withColumn("__quire_key", text_key(text))
-    chosen = keyed.join(kept, keyed[key].eqNullSafe(kept["__quire_id"]) & (keyed["__quire_key"] == kept["__quire_th"]), "left_semi")
-    return chosen.dropDuplicates([key, "__quire_key"]).drop("__quire_key")
+    kept = classed(docs.select(key, text), key, text, most).groupBy("root").agg(first)
+    return _kept(docs, kept, key, text)
