@@ -31,8 +31,8 @@ def line_winnowing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def simhash_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays."""
-    return simhash.one_of_each(docs)
+    """One document of each class of similar texts stays: five-word shingles, a similarity of 0.8 or more."""
+    return simhash.one_of_similar(docs)
 
 
 def sentence_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
