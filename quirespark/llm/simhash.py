@@ -35,7 +35,7 @@ BLOCK = 4096
 #: Words in a shingle and least similarity of two texts' shingle sets, for :func:`similar_classes`.
 SIMILAR_SHINGLE = 5
 SIMILARITY = 0.8
-#: The longer fingerprint: words of 64 bits, and the segments taken from each.
+#: The longer fingerprint: words of 64 bits, and the segments (of one width) taken from each.
 WORDS = 5
 WIDE_SEGMENTS = ((0, 18), (18, 18), (36, 18))
 #: Bits of the first two words in which candidates differ at most: 19 are expected at 0.8, with a deviation of 4.
@@ -140,7 +140,7 @@ def variants(fps: DataFrame) -> DataFrame:
             rest = segment if left_out is None else segment.bitwiseAND(F.lit(((1 << width) - 1) ^ (1 << left_out)))
             keys.append(rest.bitwiseOR(F.lit(number << 32)))
             number += 1
-    return fps.select("fp", F.explode(F.array(*keys)).alias("bucket"))
+    return fps.select(F.explode(F.array(*keys)).alias("bucket"), "fp")
 
 
 def _spanning(fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -209,16 +209,16 @@ def _met(index: DataFrame, edges: Callable[..., tuple[np.ndarray, np.ndarray]])
     return index.repartition("bucket").sortWithinPartitions(*index.columns).mapInArrow(verified, "a long, b long")
 
 
-def _linked(index: DataFrame, edges: Callable[..., tuple[np.ndarray, np.ndarray]], block: int) -> DataFrame:
+def _linked(index: DataFrame, hot: DataFrame, edges: Callable[..., tuple[np.ndarray, np.ndarray]], block: int) -> DataFrame:
     """Rows ``(a, b)`` that ``edges`` gives for the rows of ``index (bucket, fp, ...)`` whose keys are equal.
 
-    Equal keys meet by one exchange and are verified in the order of the keys. Keys that over ``block`` fingerprints share
-    are counted first (the count is combined before its exchange) and kept out of that exchange: their members are dealt to
+    Equal keys meet by one exchange and are verified in the order of the keys. ``hot (bucket, n)`` names the keys that over
+    ``block`` fingerprints share, ``n`` at most. They are kept out of that exchange: their members are dealt to
     blocks by a hash, and each pair of blocks becomes a key of its own, so a task never holds more than about ``block``
     members of a key and no pair is left out. No pairs are listed: a key gives the edges of a spanning forest.
     """
     own = index.columns[1:]
-    hot, path = written(index.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > block), "hot")
+    hot, path = written(hot, "hot")
     n_hot = hot.count()
     if not n_hot:
         dropped(index.sparkSession, path)
@@ -234,7 +234,9 @@ def _linked(index: DataFrame, edges: Callable[..., tuple[np.ndarray, np.ndarray]
 
 def links(fps: DataFrame, most: int = MOST_BITS, block: int = BLOCK) -> DataFrame:
     """Edges ``(a, b)`` that connect distinct fingerprints exactly as all their links within ``most`` bits do."""
-    return _linked(variants(fps), lambda keys, prints: _runs(keys, prints, most), block)
+    index = variants(fps)
+    hot = index.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > block)
+    return _linked(index, hot, lambda keys, prints: _runs(keys, prints, most), block)
 
 
 def classes(fps: DataFrame, most: int = MOST_BITS, block: int = BLOCK) -> DataFrame:
@@ -263,19 +265,33 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", mo
     return classed(docs, key, text, most).select(key, "fp", "component_id")
 
 
-def wide_variants(prints: DataFrame) -> DataFrame:
-    """Rows ``(bucket, fp, w1)`` for the words ``fp, w1, ...`` of longer fingerprints: every segment without each of its bits.
-
-    Segments that agree wholly agree without any bit, so whole segments need no key of their own.
-    """
-    keys, number = [], 0
+def _segments(prints: DataFrame) -> DataFrame:
+    """Rows ``(fp, w1, segment)`` for the words ``fp, w1, ...`` of longer fingerprints; the segment's number is above its bits."""
+    segments = []
     for word in ("fp", *(f"w{i}" for i in range(1, WORDS))):
         for first, width in WIDE_SEGMENTS:
-            for left_out in range(width):
-                rest = F.shiftrightunsigned(word, first).bitwiseAND(F.lit(((1 << width) - 1) ^ (1 << left_out)))
-                keys.append(rest.bitwiseOR(F.lit(number << 32)))
-                number += 1
-    return prints.select("fp", "w1", F.explode(F.array(*keys)).alias("bucket")).select("bucket", "fp", "w1")
+            segment = F.shiftrightunsigned(word, first).bitwiseAND(F.lit((1 << width) - 1))
+            segments.append(segment.bitwiseOR(F.lit(len(segments) << 32)))
+    return prints.select("fp", "w1", F.explode(F.array(*segments)).alias("segment"))
+
+
+def _without_a_bit(segments: DataFrame, *others: str) -> DataFrame:
+    """Rows ``(bucket, *others)``: each ``segment`` without each of its bits. Whole segments that agree agree without any bit."""
+    bits = F.sequence(F.lit(0), F.lit(WIDE_SEGMENTS[0][1] - 1))
+    bucket = F.expr("(segment & ~shiftleft(1L, out)) | shiftleft(cast(out as bigint), 40)")
+    return segments.select("segment", *others, F.explode(bits).alias("out")).select(bucket.alias("bucket"), *others)
+
+
+def similar_links(prints: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Candidate edges ``(a, b)`` of ``prints (fp, w1, ...)``, whose ``fp`` are distinct: nearest neighbours among equal keys.
+
+    A key without a bit has the members of two segments, so one of over ``block`` members has a segment of over half as
+    many. Segments are counted instead of keys, which are 18 times as many, and twice the larger count bounds the key's.
+    """
+    segments = _segments(prints)
+    many = segments.groupBy("segment").agg(F.count("*").alias("n")).where(F.col("n") > block // 2)
+    hot = _without_a_bit(many, "n").groupBy("bucket").agg((2 * F.max("n")).alias("n"))
+    return _linked(_without_a_bit(segments, "fp", "w1"), hot, lambda keys, one, two: _closest(keys, one, two, MOST_OF_128), block)
 
 
 def _closest(keys: np.ndarray, one: np.ndarray, two: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -368,8 +384,7 @@ def similar_classes(docs: DataFrame, text: str = "text", least: float = SIMILARI
     prints, _ = written(map_rows(named, ddl, made).distinct(), "wide")
     first = F.min(F.struct("node", *(f"w{i}" for i in range(1, WORDS)))).alias("first")
     groups, _ = written(prints.groupBy("fp").agg(first).select("fp", "first.*"), "wide-groups")
-    near = _linked(wide_variants(groups), lambda keys, one, two: _closest(keys, one, two, MOST_OF_128), block)
-    near, _ = written(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near")
+    near, _ = written(similar_links(groups, block).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near")
     of_a = groups.select(F.col("fp").alias("a"), F.col("node").alias("node_a"))
     of_b = groups.select(F.col("fp").alias("b"), F.col("node").alias("node_b"))
     apart = near.join(of_a, "a").join(of_b, "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))

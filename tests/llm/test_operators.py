@@ -44,6 +44,7 @@ def docs(spark):
 def test_all_on_empty(spark, empty):
     assert simhash.near_duplicates(empty).count() == 0
     assert simhash.one_of_each(empty).count() == 0
+    assert simhash.one_of_similar(empty).count() == 0
     assert linededup.line_dedup(empty).count() == 0
     assert spans.span_dedup(empty).count() == 0
     assert packing.pack_documents(empty, queries.WORD_BPE).count() == 0
@@ -394,6 +395,77 @@ def test_licences(spark):
     }
 
 
+def test_simhash_nearest():
+    """The forest of each run connects what links within the threshold connect, for short runs and long ones."""
+    r = random.Random(11)
+    rows = []
+    for key in range(6):
+        for _ in range(r.choice((1, 2, 5, 300))):
+            now = r.getrandbits(128)
+            for _ in range(r.randrange(1, 4)):
+                rows.append((key, now))
+                for _ in range(r.randrange(1, 45)):
+                    now ^= 1 << r.randrange(128)
+    keys = np.array([k for k, _ in rows], dtype=np.int64)
+    words = [np.array([(x >> s) & (2**64 - 1) for _, x in rows], dtype=np.uint64).view(np.int64) for s in (0, 64)]
+    members, roots = simhash._closest(keys, *words, simhash.MOST_OF_128)
+    for key in range(6):
+        own = [x for k, x in rows if k == key]
+        tops = brute_components(own, simhash.MOST_OF_128)
+        low = {x & (2**64 - 1): x for x in own}
+        edges = [(low[a & (2**64 - 1)], low[b & (2**64 - 1)]) for a, b in zip(members.tolist(), roots.tolist()) if a & (2**64 - 1) in low]
+        assert len(edges) == len(set(own)) - len(set(tops.values()))
+        assert all(tops[a] == tops[b] and (a ^ b).bit_count() <= simhash.MOST_OF_128 for a, b in edges)
+
+
+def test_simhash_similar(spark):
+    """Edited copies of 0.8 or more join, whatever the block; others stay; nulls, empty texts and repeated rows are one text."""
+    r = random.Random(3)
+    rows, want = [(None, "a null id"), (1, None), (2, ""), (3, " "), (4, "two words"), (5, "Two  words"), (5, "Two  words")], 3
+    for group in range(40):
+        words = [f"w{r.randrange(5000)}" for _ in range(r.randrange(60, 400))]
+        for copy in range(r.choice((1, 2, 5))):
+            edited = list(words)
+            for _ in range(len(words) // 60 if copy else 0):
+                edited[r.randrange(len(words))] = f"x{r.randrange(5000)}"
+            rows.append((100 + len(rows), " ".join(edited)))
+        half = words[: len(words) // 2] + [f"y{r.randrange(5000)}" for _ in range(len(words) // 2)]
+        rows.append((100 + len(rows), " ".join(half)))
+    texts = sorted({t or "" for _, t in rows})
+    sets = [set(simhash.shingle_hashes(t.encode(), 5)) for t in texts]
+    parent = {t: t for t in texts}
+
+    def top(t):
+        while parent[t] != t:
+            t = parent[t]
+        return t
+
+    for (i, a), (j, b) in itertools.combinations(enumerate(texts), 2):
+        if not (sets[i] | sets[j]) or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            parent[top(a)] = top(b)
+    low = {}
+    for i, t in rows:
+        low[top(t or "")] = min(low.get(top(t or ""), (True, 0)), (i is None, i or 0))
+    table = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id long, text string, node long")
+    found = simhash.one_of_similar(table)
+    assert found.columns == table.columns
+    assert sorted(x.doc_id or 0 for x in found.collect()) == sorted(i for _, i in low.values())
+    for block in (4096, 3):
+        classes = collections.defaultdict(set)
+        for x in simhash.similar_classes(table, block=block).collect():
+            classes[x.root].add(x.node)
+        assert sorted(map(len, classes.values())) == sorted(n for n in collections.Counter(map(top, texts)).values() if n > 1)
+
+
+def test_similar_recall(spark):
+    """Of all pairs of documents at 0.8 or more, found by brute force, at least 95 in 100 end in one class."""
+    rows = spark.read.parquet(f"{D}/documents.parquet").select(simhash._node("text").alias("node"), "text").dropDuplicates(["node"]).collect()
+    sets = [(x.node, set(simhash.shingle_hashes((x.text or "").encode(), 5))) for x in rows]
+    near = [(a, b) for (a, s), (b, t) in itertools.combinations(sets, 2) if s and len(s & t) >= 0.8 * len(s | t)]
+    classes = {x.node: x.root for x in simhash.similar_classes(spark.createDataFrame([(x.text,) for x in rows], "text string")).collect()}
+    assert sum(a in classes and classes[a] == classes.get(b) for a, b in near) >= 0.95 * len(near)
+
+
 def test_pipeline(spark):
     import corpus_pipeline as cp
 
