@@ -7,7 +7,7 @@ each segment as it stands and under each segment with one bit deleted; equal key
 Texts that are similar, rather than fingerprints that are close, take the same index over a longer fingerprint of five-word
 shingles (:func:`similar_classes`): 15 segments of 18 bits, each with one bit left out. Two texts whose shingle sets have a
 similarity of 0.8 differ in about 15 % of the bits, so they agree on some segment but for one bit with a probability of
-over 0.98. What meets there is verified on the shingle sets themselves.
+about 0.98. What meets there is verified on the shingle sets themselves.
 
 Null and empty texts have fingerprint zero. Rows keep their number: repeated rows get the same class. A null id never
 names a class unless all ids of the class are null. Columns of other names are not read.
