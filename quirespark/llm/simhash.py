@@ -7,7 +7,8 @@ each segment as it stands and under each segment with one bit deleted; equal key
 Texts that are similar, rather than fingerprints that are close, take the same index over a longer fingerprint of five-word
 shingles (:func:`similar_classes`): 15 segments of 18 bits, each with one bit left out. Two texts whose shingle sets have a
 similarity of 0.8 differ in about 15 % of the bits, so they agree on some segment but for one bit with a probability of
-about 0.98. What meets there is verified on the shingle sets themselves.
+about 0.98. What meets there, directly or through others, is one group of candidates. All pairs of a group are verified
+on the shingle sets themselves before any is left out, so a close fingerprint that fails never hides a link that holds.
 
 Null and empty texts have fingerprint zero. Rows keep their number: repeated rows get the same class. A null id never
 names a class unless all ids of the class are null. Columns of other names are not read.
@@ -44,6 +45,8 @@ MOST_OF_128 = 34
 SHORT_RUN = 512
 #: Index rows that a task takes in hand at once, but for the rest of the last key.
 PIECE = 1 << 16
+#: Bytes of text of a group of candidates that a task compares at once; larger groups are compared block by block.
+GROUP_BYTES = 8 << 20
 #: A table of hot keys is broadcast up to this many rows of 16 bytes, and joined by an exchange beyond.
 MOST_BROADCAST = 100_000
 
@@ -346,18 +349,95 @@ def similarity(one: bytes, two: bytes, size: int = SIMILAR_SHINGLE) -> float:
     return len(a & b) / len(a | b) if a or b else 1.0
 
 
-def _similar(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The rows ``(a, b)`` of ``pairs`` whose whole texts, found in ``texts (node, text)``, are similar."""
+def alike(sets: list[np.ndarray], least: float) -> tuple[list[int], list[int]]:
+    """Places (member, root) of edges that connect ``sets`` (distinct hashes each) exactly as all similar pairs do.
+
+    Shared elements are counted for a batch of rows against all rows not yet taken: those of many sets by a product of
+    matrices, the others by their lists of sets. What joins a class is taken next, and a single class ends the search.
+    """
+    n = len(sets)
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    if n < 2:
+        return [], []
+    _, element, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(n), sizes)
+    common = often > max(1, n // 16)
+    column = np.cumsum(common) - 1
+    dense = np.zeros((n, int(common.sum())), dtype=np.float32)
+    kept = common[element]
+    dense[owner[kept], column[element[kept]]] = 1
+    rare = ~kept & (often[element] > 1)
+    rows, own = element[rare], owner[rare]
+    order = np.argsort(rows, kind="stable")
+    lists, first = own[order], np.searchsorted(rows[order], np.arange(len(often) + 1))
+    # The rare elements of each set, as its part of ``rows``: owners ascend.
+    part = np.searchsorted(own, np.arange(n + 1))
+    label, classes = np.arange(n), n
+    taken, waiting, members, roots = np.zeros(n, dtype=bool), [], [], []
+    while classes > 1:
+        left = np.flatnonzero(~taken)
+        waiting = [x for x in dict.fromkeys(waiting) if not taken[x]]
+        batch = np.array(waiting[:64] or left[:64])
+        if not len(left):
+            break
+        shared = dense[batch] @ dense[left].T
+        for i, counts in zip(batch.tolist(), shared):
+            mine = rows[part[i] : part[i + 1]]
+            if len(mine):
+                starts, lengths = first[mine], first[mine + 1] - first[mine]
+                places = np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+                counts = counts + np.bincount(lists[places], minlength=n)[left]
+            both = sizes[i] + sizes[left] - counts
+            near = left[np.where(both > 0, counts / np.maximum(both, 1), 1.0) >= least]
+            new = near[label[near] != label[i]]
+            if len(new):
+                others, at = np.unique(label[new], return_index=True)
+                members += new[at].tolist()
+                roots += [i] * len(at)
+                waiting += new.tolist()
+                label[np.isin(label, others)] = label[i]
+                classes -= len(others)
+        taken[batch] = True
+    return members, roots
+
+
+def _similar(groups: DataFrame, least: float) -> DataFrame:
+    """Edges ``(a, b)`` that connect the similar texts of each bucket of ``groups (bucket, node, text)``."""
     schema = arrow_schema("a long, b long")
 
+    def found(held: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        nodes = np.array([x for x, _ in held], dtype=np.int64)
+        members, roots = alike([np.array(list(set(shingle_hashes(x, SIMILAR_SHINGLE))), dtype=np.uint64) for _, x in held], least)
+        return pa.RecordBatch.from_arrays([pa.array(nodes[members]), pa.array(nodes[roots])], schema=schema)
+
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
         for batch in batches:
-            good = pa.array([similarity(x, y) >= least for x, y in zip(utf8(batch.column(2)), utf8(batch.column(3)))], type=pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], schema=schema)
+            for bucket, node, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2))):
+                if held and bucket != now:
+                    yield found(held)
+                    held = []
+                now = bucket
+                held.append((node, raw))
+        if held:
+            yield found(held)
 
-    one = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    two = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    return map_rows(pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b"), "a long, b long", checked)
+    return map_rows(groups.repartition("bucket").sortWithinPartitions("bucket"), "a long, b long", checked)
+
+
+def _groups(members: DataFrame, texts: DataFrame, block: int, most_bytes: int = GROUP_BYTES) -> DataFrame:
+    """Rows ``(bucket, node, text)`` of the groups that ``members (node, root)`` names; ``texts`` has a row a node.
+
+    A group of over ``block`` texts or ``most_bytes`` is dealt to blocks by a hash, and each pair of blocks becomes a bucket,
+    so that every pair of the group meets in one and a task holds a bounded piece.
+    """
+    named = members.join(texts.select("node", F.octet_length("text").alias("bytes")), "node")
+    half = F.greatest(F.ceil(F.col("n") * 2 / block), F.ceil(F.col("bytes") * 2 / most_bytes)).cast("long")
+    sizes = named.groupBy("root").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).where("n > 1")
+    sizes, _ = written(sizes.select("root", F.when((F.col("n") > block) | (F.col("bytes") > most_bytes), half).otherwise(1).cast("long").alias("blocks")), "sizes")
+    dealt = members.join(sizes, "root").withColumn("mine", F.pmod(F.xxhash64("node"), "blocks"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("mine <> other or blocks = 1")
+    return dealt.select(F.xxhash64("root", F.least("mine", "other"), F.greatest("mine", "other")).alias("bucket"), "node").join(texts, "node").select("bucket", "node", "text")
 
 
 def _node(text: str) -> Column:
@@ -368,9 +448,10 @@ def _node(text: str) -> Column:
 def similar_classes(docs: DataFrame, text: str = "text", least: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """Rows ``(node, root)`` for texts, named by 64 bits of their hash, that links of similar texts join to another text.
 
-    Fingerprints are made of all rows and counted as one where their first words are equal. Candidates are the nearest
-    neighbours among equal keys, and the texts with equal first words; each is verified on the whole texts, and only
-    those in question are read again. A link that no key shows as a nearest neighbour is lost; tests measure how many.
+    Fingerprints are made of all rows and counted as one where their first words are equal. Nearest neighbours among equal
+    keys, and texts with equal first words, join to groups of candidates, which only serve to bring texts together: the
+    nearest neighbours connect all that links within the bits connect. All pairs of a group are verified on the whole
+    texts, and only those in question are read again. A link is lost only where no key joins its texts' groups.
     """
     ddl = "node long, fp long, " + ", ".join(f"w{i} long" for i in range(1, WORDS))
     schema = arrow_schema(ddl)
@@ -385,14 +466,13 @@ def similar_classes(docs: DataFrame, text: str = "text", least: float = SIMILARI
     first = F.min(F.struct("node", *(f"w{i}" for i in range(1, WORDS)))).alias("first")
     groups, _ = written(prints.groupBy("fp").agg(first).select("fp", "first.*"), "wide-groups")
     near, _ = written(similar_links(groups, block).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near")
-    of_a = groups.select(F.col("fp").alias("a"), F.col("node").alias("node_a"))
-    of_b = groups.select(F.col("fp").alias("b"), F.col("node").alias("node_b"))
-    apart = near.join(of_a, "a").join(of_b, "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-    equal = prints.select("fp", F.col("node").alias("b")).join(of_a.withColumnRenamed("a", "fp"), "fp").where("b <> node_a").select(F.col("node_a").alias("a"), "b")
-    pairs, _ = written(apart.unionAll(equal), "pairs")
-    asked = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-    texts, _ = written(named.join(asked, "node", "left_semi").dropDuplicates(["node"]), "texts")
-    found = components(_similar(pairs, texts, least))
+    joined = components(near)
+    joined = joined.select(F.col("node").alias("fp"), "root").unionAll(joined.select(F.col("root").alias("fp"), "root").distinct())
+    members = prints.select("node", "fp").join(joined, "fp", "left").select("node", F.coalesce("root", "fp").alias("root"))
+    several = members.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
+    members, _ = written(members.join(several, "root", "left_semi"), "members")
+    texts, _ = written(named.join(members.select("node"), "node", "left_semi").dropDuplicates(["node"]), "texts")
+    found = components(_similar(_groups(members, texts, block), least))
     return found.unionAll(found.select(F.col("root").alias("node"), "root").distinct())
 
 

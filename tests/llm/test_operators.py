@@ -463,6 +463,43 @@ def test_simhash_similar(spark):
         assert 0.98 * linked <= sum(map(len, classes.values())) <= linked
 
 
+def test_alike():
+    """The edges connect sets as all pairs at the threshold do, for rare and common elements, stars and empty sets."""
+    r = random.Random(12)
+    for n in (2, 3, 40, 150):
+        base, sets = [r.sample(range(10**6), 60) for _ in range(4)], []
+        for _ in range(n):
+            own = set(r.choice(base)) if r.random() < 0.8 else set(r.sample(range(10**6), 50))
+            own = set(list(own)[r.randrange(0, 14) :]) | set(r.sample(range(10**6), r.randrange(0, 8)))
+            sets.append(own if r.random() < 0.95 else set())
+        graph, found = list(range(n)), list(range(n))
+        top = lambda p, x: x if p[x] == x else top(p, p[x])
+        for a, b in itertools.combinations(range(n), 2):
+            if not (sets[a] | sets[b]) or len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
+                graph[top(graph, a)] = top(graph, b)
+        members, roots = simhash.alike([np.array(list(x), dtype=np.uint64) for x in sets], 0.8)
+        for a, b in zip(members, roots):
+            assert top(found, a) != top(found, b) and top(graph, a) == top(graph, b)
+            found[top(found, a)] = top(found, b)
+        assert len({top(found, x) for x in range(n)}) == len({top(graph, x) for x in range(n)})
+
+
+def test_simhash_star(spark):
+    """Thousands of edited copies, near to their original at 0.8 and to each other below, are one class."""
+    r = random.Random(13)
+    words = [f"w{r.randrange(10**6)}" for _ in range(200)]
+    rows = [" ".join(words)]
+    for _ in range(2000):
+        edited = list(words)
+        for place in r.sample(range(5, 195), 4):
+            edited[place] = f"x{r.randrange(10**9)}"
+        rows.append(" ".join(edited))
+    near = [x for x in rows if simhash.similarity(rows[0].encode(), x.encode()) >= 0.8]
+    assert len(near) > 1900 and np.mean([simhash.similarity(a.encode(), b.encode()) for a, b in zip(near[1:], near[2:])]) < 0.75
+    table = spark.createDataFrame([(i, x) for i, x in enumerate(near)], "doc_id long, text string")
+    assert [x.doc_id for x in simhash.one_of_similar(table).collect()] == [0]
+
+
 def test_similar_recall(spark):
     """Of all pairs of documents at 0.8 or more, found by brute force, at least 95 in 100 end in one class."""
     rows = spark.read.parquet(f"{D}/documents.parquet").select(simhash._node("text").alias("node"), "text").dropDuplicates(["node"]).collect()
