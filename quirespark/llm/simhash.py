@@ -78,14 +78,19 @@ def fingerprints(texts: list[bytes]) -> np.ndarray:
 
 
 def wide_fingerprints(texts: list[bytes], size: int = SIMILAR_SHINGLE, words: int = WORDS) -> list[np.ndarray]:
-    """``words`` fingerprints of 64 bits, each of the shingle hashes mixed anew; no shingle gives zeros."""
-    flat, counts = _hashes(texts, size)
+    """``words`` fingerprints of 64 bits, each of the distinct shingle hashes mixed anew; no shingle gives zeros.
+
+    Repeats count once, as in the similarity of shingle sets.
+    """
+    flat, counts = _hashes(texts, size, distinct=True)
     return [_majority(_mixed(flat, i), counts) for i in range(words)]
 
 
-def _hashes(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+def _hashes(texts: list[bytes], size: int, distinct: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """The shingle hashes of all texts in a row, and their number by text."""
     hashes = [shingle_hashes(x, size) for x in texts]
+    if distinct:
+        hashes = [set(x) for x in hashes]
     counts = np.array([len(h) for h in hashes], dtype=np.int64)
     return np.fromiter((x for h in hashes for x in h), dtype=np.uint64, count=int(counts.sum())), counts
 

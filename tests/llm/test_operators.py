@@ -500,6 +500,18 @@ def test_simhash_star(spark):
     assert [x.doc_id for x in simhash.one_of_similar(table).collect()] == [0]
 
 
+def test_similar_repeats(spark):
+    """Copies that repeat a sentence a different number of times have nearly the same shingle sets and are found."""
+    r = random.Random(14)
+    rows = []
+    for times, size in ((8, 10), (13, 5)) * 15:
+        words, again = ([f"w{r.randrange(10**6)}" for _ in range(n)] for n in (200, size))
+        rows += [" ".join(words + again), " ".join(words + again * times)]
+        assert simhash.similarity(rows[-1].encode(), rows[-2].encode()) >= 0.8
+    kept = [x.doc_id for x in simhash.one_of_similar(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()]
+    assert sorted(kept) == list(range(0, 60, 2))
+
+
 def test_similar_recall(spark):
     """Of all pairs of documents at 0.8 or more, found by brute force, at least 95 in 100 end in one class."""
     rows = spark.read.parquet(f"{D}/documents.parquet").select(simhash._node("text").alias("node"), "text").dropDuplicates(["node"]).collect()
