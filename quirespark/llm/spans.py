@@ -1,7 +1,10 @@
 """Substring deduplication by sliding sentence spans.
 
-A text is cut into sentences (after ``. ! ?`` and the like before white space, and at line ends); one of over ``LONG`` words
-is cut further, behind words that a hash picks, so that equal passages are cut alike wherever they stand. From every sentence, a
+A text is cut into sentences (after ``. ! ?`` and the like before white space, and at line ends). Longer ones are cut further
+by winnowing: of every ``WINDOW`` words in a row without a sentence's end, the text is cut behind the one with the smallest
+hash. So each window has a cut that depends on its own words only, and equal passages are cut alike wherever they stand, but
+for at most ``WINDOW`` words at either edge: of a passage of 50 words, 20 or more in at least two whole sentences are left.
+From every sentence, which is what the pieces are called from here on, a
 span runs forward to the first sentence where it has ``least_sentences`` and ``least_words``, and another runs backward in
 the same way. A span is hashed over its words, lower-cased; spans meet globally by hash, and the sentences of each span that
 is not the first of its hash, in the order of id, text hash and position, are removed with the white space behind them.
@@ -32,20 +35,30 @@ BREAK = re.compile(r"[.!?…。！？]+[\"'”’»)\]]*\s+|\n\s*")
 
 
 _WORD = re.compile(r"\S+\s*")
-#: A longer sentence is cut behind every word whose hash has no remainder by ``EACH``, and behind ``MOST`` words without one.
-LONG, EACH, MOST = 25, 12, 40
+_ENDED = re.compile(r"[.!?…。！？][\"'”’»)\]]*$")
+#: Words of which one at least ends a piece: 50 less 2 of these at the edges leave ``LEAST_WORDS``, in two pieces or more.
+WINDOW = 15
 
 
-def _cut(text: str, start: int, end: int) -> list[tuple[int, int]]:
+def _cut(text: str, start: int, end: int, ended: bool) -> list[tuple[int, int]]:
+    """The sentence's pieces; its last word has no part in a window if it is known to end a sentence."""
     words = list(_WORD.finditer(text, start, end))
-    if len(words) <= LONG:
+    n = len(words) - ended
+    if n < WINDOW:
         return [(start, end)]
-    out, at, n = [], start, 0
-    for w in words:
-        n += 1
-        if n >= MOST or crc32(w[0].rstrip().lower().encode()) % EACH == 0:
-            out.append((at, w.end()))
-            at, n = w.end(), 0
+    ranks = [crc32(w[0].rstrip().lower().encode()) for w in words[:n]]
+    out, at, last = [], start, -1
+    for first in range(n - WINDOW + 1):
+        # The last of equal ones; as long as it stays in the window only the word that came in can replace it.
+        new = first + WINDOW - 1
+        if last < first:
+            last = min(range(new, first - 1, -1), key=ranks.__getitem__)
+        elif ranks[new] <= ranks[last]:
+            last = new
+        else:
+            continue
+        out.append((at, words[last].end()))
+        at = words[last].end()
     if at < end:
         out.append((at, end))
     return out
@@ -57,13 +70,13 @@ def sentences(text: str) -> list[tuple[int, int]]:
     out = []
     for found in BREAK.finditer(text, at):
         end = found.end()
-        if end - at > 2 * LONG:
-            out += _cut(text, at, end)
+        if end - at > 2 * WINDOW:
+            out += _cut(text, at, end, True)
         else:
             out.append((at, end))
         at = end
     if at < len(text):
-        out += _cut(text, at, len(text))
+        out += _cut(text, at, len(text), bool(_ENDED.search(text, at)))
     return out
 
 

@@ -330,6 +330,22 @@ def test_span_pieces_cover_the_text():
         assert cut or not text.strip()
 
 
+def test_span_passages(spark):
+    """Of a repeated passage of 50 words or more, wherever its edges lie, only edges of at most 15 words stay."""
+    r = random.Random(10)
+    rows, inner = [], {}
+    for i in range(150):
+        words = [f"w{r.randrange(10**6)}" + ("." if r.random() < (0, 1 / 24, 1 / 12)[i % 3] else "") for _ in range(r.randrange(50, 62))]
+        for copy in range(2):
+            around = [" ".join(f"y{r.randrange(10**6)}" for _ in range(r.randrange(0, 30))) + r.choice(["", ".", "\n"]) for _ in range(2)]
+            rows.append((2 * i + copy, f"{around[0]} {' '.join(words)} {around[1]}"))
+        inner[2 * i + 1] = words[15:-15]
+    found = {x.doc_id: x.text.split() for x in spans.span_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(len(x) >= 20 for x in inner.values())
+    assert not any(set(words) & set(found[i]) for i, words in inner.items())
+    assert all(found[i] == text.split() for i, text in rows if not i % 2)
+
+
 def brute_repeat(text, window=8):
     words = re.findall(WORD, text or "")
     windows = [tuple(words[i : i + window]) for i in range(len(words) - window + 1)]
