@@ -8,6 +8,9 @@ neighbouring selected grams can lie (``window`` lines); those continue it with t
 document cover, taken together, makes runs; a run of at least ``gram + window - 1`` lines is deleted, with the blank lines
 inside it. The first occurrence of a run stays.
 
+A run is long by its words as well: every line of ``LEAST_WORDS`` words, and every two lines in a row that together have as
+many, are grams that are always selected, and a run with so many words is deleted however few its lines are.
+
 Null and empty texts have no lines and stay as they are. Rows with the same id and text are one document: they get the same
 result and do not delete each other's lines. Other columns pass through, whatever their names.
 """
@@ -27,6 +30,8 @@ from quirespark.llm.common import arrow_schema, map_rows, slices, text_key, utf8
 
 GRAM = 2
 WINDOW = 2
+#: A run of so many words is deleted, whatever the number of its lines.
+LEAST_WORDS = 20
 
 
 def line_hashes(raw: bytes) -> list[int]:
@@ -47,25 +52,47 @@ def selected(lines: list[int], gram: int = GRAM, window: int = WINDOW) -> list[t
     return [(i, grams[i]) for i in sorted(picked)]
 
 
+def wordy(raw: bytes, lines: list[int], least_words: int = LEAST_WORDS) -> list[tuple[int, int, int]]:
+    """``(position, lines, hash)`` of each line with ``least_words`` words, and of each two in a row with as many."""
+    counts = [len(x.split()) for x in map(bytes.strip, raw.split(b"\n")) if x]
+    found = []
+    for i, n in enumerate(counts):
+        for size in (1, 2):
+            if sum(counts[i : i + size]) >= least_words and i + size <= len(counts):
+                found.append((i, size, xxhash.xxh64_intdigest(np.array(lines[i : i + size], dtype="<i8").tobytes(), size) - (1 << 63)))
+    return found
+
+
 def occurrences(docs: DataFrame, key: str, text: str, gram: int, window: int) -> DataFrame:
-    """Rows ``(gram, id, th, at, before, after)``: the lines around a selected gram, up to ``window`` each way."""
-    ddl = f"gram long, id {docs.schema[key].dataType.simpleString()}, th long, at int, before array<long>, after array<long>"
+    """Rows ``(gram, id, th, at, lines, before, after)``: the lines around a selected gram, up to ``window`` each way.
+
+    Those that are grams by their words have none around them: a run of one or two lines is a gram as a whole.
+    """
+    ddl = f"gram long, id {docs.schema[key].dataType.simpleString()}, th long, at int, lines int, before array<long>, after array<long>"
     schema = arrow_schema(ddl)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            row, grams, ats, before, after = [], [], [], [], []
+            row, grams, ats, sizes, before, after = [], [], [], [], [], []
             for i, raw in enumerate(utf8(batch.column(2))):
                 lines = line_hashes(raw)
                 for at, value in selected(lines, gram, window):
                     row.append(i)
                     grams.append(value)
                     ats.append(at)
+                    sizes.append(gram)
                     before.append(lines[max(0, at - window) : at][::-1])
                     after.append(lines[at + gram : at + gram + window])
+                for at, size, value in wordy(raw, lines):
+                    row.append(i)
+                    grams.append(value)
+                    ats.append(at)
+                    sizes.append(size)
+                    before.append([])
+                    after.append([])
             take = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(grams, pa.int64()), batch.column(0).take(take), batch.column(1).take(take), pa.array(ats, pa.int32()), pa.array(before, schema.types[4]), pa.array(after, schema.types[5])], schema=schema
+                [pa.array(grams, pa.int64()), batch.column(0).take(take), batch.column(1).take(take), pa.array(ats, pa.int32()), pa.array(sizes, pa.int32()), pa.array(before, schema.types[5]), pa.array(after, schema.types[6])], schema=schema
             )
 
     return map_rows(docs.select(F.col(key).alias("id"), text_key(text).alias("th"), F.col(text).cast("string").alias("text")), ddl, found)
@@ -78,7 +105,7 @@ def _shared(mine: str, first: str) -> F.Column:
     return F.when(ahead == 0, F.size(mine)).otherwise(ahead - 1).cast("int")
 
 
-def covered(found: DataFrame, gram: int = GRAM) -> DataFrame:
+def covered(found: DataFrame) -> DataFrame:
     """Rows ``(id, th, runs)``: the lines, as ``[first, end)``, that matches with an earlier place cover.
 
     The first occurrence is one aggregate a gram, combined before its exchange, and written to the shared folder: a hot
@@ -88,18 +115,19 @@ def covered(found: DataFrame, gram: int = GRAM) -> DataFrame:
     first, _ = written(found.groupBy("gram").agg(F.min(F.struct("id", "th", "at", "before", "after")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "grams")
     met = found.join(first, "gram").where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th")) & (F.col("at") == F.col("first.at"))))
     left, right = _shared("before", "first.before"), _shared("after", "first.after")
-    return met.select("id", "th", F.struct((F.col("at") - left).alias("a"), (F.col("at") + gram + right).alias("b")).alias("run")).groupBy("id", "th").agg(F.collect_set("run").alias("runs"))
+    return met.select("id", "th", F.struct((F.col("at") - left).alias("a"), (F.col("at") + F.col("lines") + right).alias("b")).alias("run")).groupBy("id", "th").agg(F.collect_set("run").alias("runs"))
 
 
-def without_runs(raw: bytes, runs: list[tuple[int, int]], least: int) -> tuple[bytes, int]:
-    """The text without the runs, joined where they touch, of ``least`` lines or more; and how many lines went."""
+def without_runs(raw: bytes, runs: list[tuple[int, int]], least: int, least_words: int = LEAST_WORDS) -> tuple[bytes, int]:
+    """The text without the runs, joined where they touch, of ``least`` lines or ``least_words`` words or more; and how many lines went."""
     joined: list[list[int]] = []
     for a, b in sorted(runs):
         if joined and a <= joined[-1][1]:
             joined[-1][1] = max(joined[-1][1], b)
         else:
             joined.append([a, b])
-    gone = [(a, b) for a, b in joined if b - a >= least]
+    counts = [len(x.split()) for x in map(bytes.strip, raw.split(b"\n")) if x]
+    gone = [(a, b) for a, b in joined if b - a >= least or sum(counts[a:b]) >= least_words]
     if not gone:
         return raw, 0
     out, number, deleted = [], 0, 0
@@ -121,7 +149,7 @@ def without_runs(raw: bytes, runs: list[tuple[int, int]], least: int) -> tuple[b
 def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     """``docs`` with later repeated runs of lines deleted from ``text``, and ``n_lines``, ``n_deleted_lines`` (long) added."""
     least = gram + window - 1
-    runs = covered(occurrences(docs, key, text, gram, window), gram).select(F.col("id").alias("__quire_id"), F.col("th").alias("__quire_th"), F.col("runs").alias("__quire_runs"))
+    runs = covered(occurrences(docs, key, text, gram, window)).select(F.col("id").alias("__quire_id"), F.col("th").alias("__quire_th"), F.col("runs").alias("__quire_runs"))
     keyed = docs.withColumn("__quire_key", text_key(text))
     joined = keyed.join(runs, keyed[key].eqNullSafe(runs["__quire_id"]) & (keyed["__quire_key"] == runs["__quire_th"]), "left").select(*[F.col(f"`{c}`") for c in docs.columns], "__quire_runs")
     names = docs.columns

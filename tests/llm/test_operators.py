@@ -238,6 +238,15 @@ def test_line_dedup(spark, odd, docs):
     assert {r.doc_id: r.text for r in linededup.line_dedup(pair).collect()} == {1: first, 2: "own\nown too", 3: "b\nc"}
 
 
+def test_line_dedup_words(spark):
+    """Repeated runs of one or two lines go when they have 20 words; shorter ones stay."""
+    long, half, rest = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("a", 20), ("b", 12), ("c", 8)))
+    short = " ".join(f"d{i}" for i in range(19))
+    rows = [(1, f"one\n{long}\ntwo\n{half}\n\n{rest}\nthree\n{short}"), (2, f"x\n {long}\ny"), (3, f"x2\n{half}\n{rest}\ny2"), (4, f"x3\n{short}\ny3"), (5, f"x4\n{half}\ny4"), (6, long), (7, f"x5\n{long}\ntwo\ny5")]
+    found = {x.doc_id: (x.text, x.n_deleted_lines) for x in linededup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1: (rows[0][1], 0), 2: ("x\ny", 1), 3: ("x2\ny2", 2), 4: (rows[3][1], 0), 5: (rows[4][1], 0), 6: ("", 1), 7: ("x5\ny5", 2)}
+
+
 def brute_fingerprint(text, size=4):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     words = re.findall(WORD, low)
