@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -17,28 +20,61 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 FLUSH_BYTES = 8 << 20
 
 
+_own_roots: dict[str, str] = {}
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors and the driver share: ``spark.checkpoint.dir``, or a temporary one where that is unset."""
+    """The folder all executors and the driver share: ``spark.checkpoint.dir``.
+
+    Where that is unset and all tasks run in this machine's one process, it is a temporary folder, removed at exit. On a cluster
+    an unset folder is an error: executors would not see each other's files.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="quire-shared-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    if root:
+        return root.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that the driver and all executors share (the master is {master})")
+    run = spark.sparkContext.applicationId
+    if run not in _own_roots:
+        _own_roots[run] = tempfile.mkdtemp(prefix="quire-shared-")
+        atexit.register(shutil.rmtree, _own_roots[run], ignore_errors=True)
+    return "file://" + _own_roots[run]
+
+
+_cleaned: set[tuple[str, str]] = set()
 
 
 def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there and survives lost executors."""
+    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there and survives lost executors.
+
+    A result may read the table long after its operator has returned, so what :func:`dropped` has not removed goes when the
+    driver's Python ends, with the application's own folder.
+    """
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/quire-{label}-{uuid.uuid4().hex}"
+    own = f"{shared_root(spark)}/quire-{spark.sparkContext.applicationId}"
+    if (spark.sparkContext.applicationId, own) not in _cleaned:
+        _cleaned.add((spark.sparkContext.applicationId, own))
+        atexit.register(_ended, spark, own)
+    path = f"{own}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def dropped(spark: SparkSession, path: str) -> None:
-    """Remove a table that :func:`written` made."""
+def _ended(spark: SparkSession, own: str) -> None:
+    """Remove an application's folder, if its session still answers."""
+    try:
+        dropped(spark, own)
+    except Exception:  # noqa: BLE001  the gateway may be gone before the interpreter ends; the folder's owner clears it then
+        pass
+
+
+def dropped(spark: SparkSession, *paths: str) -> None:
+    """Remove tables that :func:`written` made and that no later plan reads."""
     jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -87,33 +123,47 @@ def map_rows(df: DataFrame, ddl: str, make: Callable[[Iterator[pa.RecordBatch]],
     return df.mapInArrow(make, ddl)
 
 
+def kept_columns(keep: Iterable[str], own: Iterable[str]) -> tuple[str, ...]:
+    """The columns of ``keep``, each once, without those that the operator makes itself: a clashing column gives way to the operator's."""
+    made = {c.lower() for c in own}
+    return tuple(c for c in dict.fromkeys(keep) if c.lower() not in made)
+
+
+def names_of(ddl: str) -> list[str]:
+    """The column names of a DDL string."""
+    return StructType.fromDDL(ddl).fieldNames()
+
+
 def text_key(text: str = "text") -> Column:
-    """32 bits of the text's hash: with the document's id it names a row, whatever order a table is read in.
+    """64 bits of the text's hash: with the document's id it names a row, whatever order a table is read in.
 
-    Rows with the same id and the same text are one document to the operators; each of them gets the same result.
+    Rows with the same id and the same text are one document to the operators; each of them gets the same result. Rows
+    without an id are named by these bits alone.
     """
-    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).bitwiseAND(F.lit(0x7FFFFFFF))
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
 def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     """Connected components of an undirected edge table ``(a, b)`` of longs: rows ``(node, root)``, root the smallest node.
 
-    Large-star and small-star rounds over the edge table, each written to the shared folder, until the star edges no
-    longer change. Every round is one aggregation and one join on a node; a hub's rows are split by adaptive execution.
+    Large-star and small-star rounds over the edge table, each written to the shared folder, until the star edges no longer
+    change. The least neighbour of each node is an aggregate, combined before its exchange and written before it is joined, so
+    both sides of the join are plain exchanges and adaptive execution can split the rows of a hub.
     """
     spark = edges.sparkSession
     now, path = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     state = None
     for _ in range(most_rounds):
         both = now.select("u", "v").unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small_low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(small_low, "u")
+        low, low_path = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
+        # A node and its larger neighbours take the node's least neighbour.
+        large, large_path = written(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "edges")
+        least, least_path = written(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        small = large.join(least, "u")
         step = small.select("u", F.col("m").alias("v")).unionAll(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
         after, after_path = written(step, "edges")
         row = after.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        dropped(spark, path)
+        dropped(spark, path, low_path, large_path, least_path)
         now, path = after, after_path
         if (row["n"], row["h"]) == state:
             break
