@@ -4,8 +4,11 @@ Read: both byte orders, classic and big files, chunky and planar samples of 1, 2
 PackBits, LZW and deflate, horizontal and floating-point predictors. Samples of under 8 bits become bytes.
 
 A null or broken file gives one row with ``error`` set and no pixels; a directory that cannot be decoded gives its row with
-``error`` set, and the walk goes on. A chain of directories that turns back on itself ends there. Repeated rows each get
-their rows; an empty table gives none. Columns named in ``keep`` pass through.
+``error`` set, and the walk goes on. So does a strip or tile that holds less than its size: no sample is invented. A chain of
+directories of any length is walked; one that turns back on itself ends there with a row that says so. A page of over
+``MOST_PIXELS`` samples, which no row of Spark could hold, gives an error row; :func:`text_media` stores a text of more bytes on
+several pages. Repeated rows each get their rows, equal texts equal ones; an empty table gives none. Columns named in ``keep``
+pass through; one that is named like a column of the result gives way to it.
 """
 
 from __future__ import annotations
@@ -20,14 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirespark.llm.common import arrow_schema, map_rows, slices, utf8
+from quirespark.llm.common import arrow_schema, kept_columns, map_rows, names_of, slices, utf8
 
 #: Numbers of tags and of compressions.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIPS, SAMPLES, ROWS, STRIP_BYTES = 256, 257, 258, 259, 262, 273, 277, 278, 279
 PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILES, TILE_BYTES, SAMPLE_FORMAT = 284, 317, 322, 323, 324, 325, 339
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 KINDS = {1: "B", 2: "c", 3: "H", 4: "I", 6: "b", 7: "B", 8: "h", 9: "i", 13: "I", 16: "Q", 17: "q", 18: "Q"}
-MOST_PAGES, MOST_PIXELS = 1 << 16, 1 << 30
+#: Samples of a page, and bytes of them: a row's binary column is an array of fewer than 2 GB.
+MOST_PIXELS = 1 << 30
 
 
 class TiffError(ValueError):
@@ -181,15 +185,16 @@ def _unpacked(data: bytes, compression: int, size: int) -> bytes:
 def _samples(raw: bytes, rows: int, columns: int, samples: int, bits: int, order: str, predictor: int) -> np.ndarray:
     """One strip's or tile's samples as ``(rows, columns, samples)``."""
     per_row = columns * samples
+    line = -(-per_row * bits // 8)
+    if len(raw) < rows * line:
+        raise TiffError(f"a strip or tile has {len(raw)} of {rows * line} bytes")
     if bits < 8:
-        line = -(-per_row * bits // 8)
-        data = np.frombuffer(raw.ljust(rows * line, b"\0")[: rows * line], np.uint8).reshape(rows, line)
+        data = np.frombuffer(raw[: rows * line], np.uint8).reshape(rows, line)
         flags = np.unpackbits(data, axis=1)[:, : per_row * bits].reshape(rows, per_row, bits)
         weights = (1 << np.arange(bits - 1, -1, -1)).astype(np.uint8)
         return (flags * weights).sum(axis=2).astype(np.uint8).reshape(rows, columns, samples)
     width = bits // 8
-    size = rows * per_row * width
-    raw = raw.ljust(size, b"\0")[:size]
+    raw = raw[: rows * line]
     if predictor == 3:
         planes = np.frombuffer(raw, np.uint8).reshape(rows, per_row * width)
         steps = planes.reshape(rows, -1, samples)
@@ -204,7 +209,7 @@ def _decoded(data: bytes, tags: dict[int, tuple], order: str, page: Page) -> np.
     page.width, page.height, page.samples = one(WIDTH, 0), one(HEIGHT, 0), one(SAMPLES, 1)
     depths = tags.get(BITS) or (1,)
     page.bits, page.compression, page.predictor = depths[0], one(COMPRESSION, 1), one(PREDICTOR, 1)
-    if not page.width or not page.height or page.samples < 1 or page.width * page.height * page.samples > MOST_PIXELS:
+    if not page.width or not page.height or page.samples < 1 or page.width * page.height * page.samples * max(1, page.bits // 8) > MOST_PIXELS:
         raise TiffError("no size, or too large")
     if len(set(depths)) > 1 or page.bits not in (1, 2, 4, 8, 16, 32):
         raise TiffError(f"{depths} bits are not read")
@@ -248,7 +253,10 @@ def walk(data: bytes) -> Iterator[Page]:
     offset = struct.unpack_from(f"{order}{offset_kind}", data, 8 if big else 4)[0]
     seen: set[int] = set()
     page = 0
-    while offset and offset not in seen and page < MOST_PAGES:
+    while offset:
+        if offset in seen:
+            yield Page(page, error="the chain of directories turns back on itself")
+            return
         seen.add(offset)
         now = Page(page)
         following = 0
@@ -326,15 +334,32 @@ def payload(raw: bytes, block: int = 64) -> bytes:
     return raw.ljust(max(1, -(-len(raw) // block)) * block, b"\0")
 
 
+def layout(data: bytes) -> dict:
+    """How :func:`stored` lays ``data`` out: deflate strips, and by their checksum, for one in 64 each, the slower forms."""
+    rare = {0: {"compression": LZW}, 1: {"compression": LZW, "tile": (32, 48)}, 2: {"compression": PACKBITS, "predictor": 1}, 3: {"compression": PACKBITS, "predictor": 1, "tile": (16, 64)}, 4: {"compression": NONE, "predictor": 1, "tile": (64, 16)}, 5: {"tile": (64, 32)}}
+    return rare.get(zlib.crc32(data) % 64, {})
+
+
+def images(data: bytes, width: int) -> Iterator[np.ndarray]:
+    """Rows of ``width`` bytes, on as many pages as their bound needs."""
+    rows = np.frombuffer(data, np.uint8).reshape(-1, width)
+    most = MOST_PIXELS // width
+    for start in range(0, len(rows), most):
+        yield rows[start : start + most]
+
+
 def text_media(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 64) -> DataFrame:
-    """Rows ``(key, n_bytes, media)``: each text's padded bytes stored as the grey samples of a page ``width`` wide."""
+    """Rows ``(key, n_bytes, media)``: each text's padded bytes stored as the grey samples of a page ``width`` wide, null as empty.
+
+    Equal texts are stored alike; the layout follows their checksum.
+    """
     ddl = f"{key} {docs.schema[key].dataType.simpleString()}, n_bytes long, media binary"
     schema = arrow_schema(ddl)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             texts = utf8(batch.column(1))
-            media = [stored([np.frombuffer(payload(x, width), np.uint8).reshape(-1, width)]) for x in texts]
+            media = [stored(list(images(x, width)), **layout(x)) for x in (payload(t, width) for t in texts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in texts], pa.int64()), pa.array(media, pa.binary())], schema=schema)
 
     return map_rows(docs.select(key, F.col(text).cast("string").alias("text")), ddl, made)
@@ -357,12 +382,13 @@ PAGE_DDL = "page int, width int, height int, samples int, bits int, compression
 
 def tiff_pages(media: DataFrame, content: str = "media", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per page of each file in ``content``: the columns of ``keep``, then the page's description and pixels."""
+    keep = kept_columns(keep, names_of(PAGE_DDL))
     kept = ", ".join(f"`{c}` {media.schema[c].dataType.simpleString()}" for c in keep)
     ddl = f"{kept}, {PAGE_DDL}" if kept else PAGE_DDL
     schema = arrow_schema(ddl)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "content"):
+        for batch in slices(batches, "__quire_content"):
             row, rows, held = [], [], 0
             for i, data in enumerate(utf8(batch.column(len(keep)))):
                 for p in walk(data):
@@ -379,4 +405,4 @@ def tiff_pages(media: DataFrame, content: str = "media", keep: tuple[str, ...] =
         take = pa.array(row, pa.int64())
         return pa.RecordBatch.from_arrays([*(batch.column(i).take(take) for i in range(len(keep))), *(pa.array(c, t) for c, t in zip(zip(*rows), schema.types[len(keep) :]))], schema=schema)
 
-    return map_rows(media.select(*keep, F.col(content).alias("content")), ddl, made)
+    return map_rows(media.select(*keep, F.col(content).cast("binary").alias("__quire_content")), ddl, made)

@@ -1,7 +1,6 @@
 """Each operator against brute force or an exact round trip, and on nulls, empty and long texts, ties and empty tables."""
 
 import collections
-import gzip
 import hashlib
 import itertools
 import random
@@ -59,68 +58,6 @@ def test_all_on_empty(spark, empty):
     assert warc.derive(warc.page_responses(pages), keep=("page_id",)).count() == 0
 
 
-def test_warc(spark):
-    html = '<html><head><title>T &amp; t</title><style>x</style></head><body><p>One <b>two</b></p><script>no</script><a href="/x?a=1&amp;b=2">three</a></body></html>'
-    pages = spark.createDataFrame([(1, "http://e.org/a b", html), (2, None, None), (2, None, None)], "page_id long, url string, html string")
-    responses = warc.page_responses(pages)
-    found = warc.derive(responses, keep=("page_id",)).collect()
-    assert collections.Counter((r.page_id, r.record_type) for r in found) == {(1, "metadata"): 1, (1, "conversion"): 1, (2, "metadata"): 2, (2, "conversion"): 2}
-    source = next(warc.records(responses.where("page_id = 1").first().record))
-    for r in (x for x in found if x.page_id == 1):
-        back = next(warc.records(r.record))
-        assert back.get("WARC-Refers-To") == source.get("WARC-Record-ID") == r.refers_to
-        assert back.get("WARC-Source-Payload-Digest") == warc.digest(html.encode()) == r.source_payload_digest
-        assert back.block.decode() == r.block and int(back.get("Content-Length")) == len(back.block)
-        assert back.get("WARC-Block-Digest") == warc.digest(back.block)
-    texts = {r.record_type: r.block for r in found if r.page_id == 1}
-    assert texts["conversion"] == "One two\nthree"
-    assert "title: T & t\r\n" in texts["metadata"] and "outlink: /x?a=1&b=2\r\n" in texts["metadata"] and "http-Content-Type: text/html" in texts["metadata"]
-
-
-def test_warc_files(spark, tmp_path):
-    one, two = warc.response("http://a", b"<p>hi"), warc.response("http://b", b"x", "text/plain")
-    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(one.raw()) + gzip.compress(two.raw()))
-    (tmp_path / "b.warc").write_bytes(one.raw() + two.raw())
-    (tmp_path / "c.warc").write_bytes(b"no records")
-    found = warc.read_warc(spark, "file://" + str(tmp_path))
-    assert found.count() == 4
-    assert sorted(r.block for r in warc.derive(found.select("record")).where("record_type = 'conversion'").collect()) == ["hi", "hi", "x", "x"]
-    body = b"5\r\nhello\r\n1\r\n!\r\n0\r\n\r\n"
-    assert warc.http(b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + body)[2] == b"hello!"
-
-
-def test_tiff_round_trips():
-    r = random.Random(1)
-    for n, kind in itertools.product((0, 1, 300, 5000), range(3)):
-        data = bytes(r.randrange(256) for _ in range(n)) if kind == 0 else bytes(r.choice(b"ab ") for _ in range(n)) if kind == 1 else b"x" * n
-        padded = tiff.payload(data)
-        image = np.frombuffer(padded, np.uint8).reshape(-1, 64)
-        for compression, predictor, tile in itertools.product((tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS), (1, 2), (None, (16, 16), (32, 48))):
-            pages = list(tiff.walk(tiff.stored([image, image[:1]], compression, predictor, 50, tile)))
-            assert [p.error for p in pages] == [None, None]
-            assert pages[0].pixels == padded and pages[1].pixels == padded[:64]
-
-
-def test_tiff_broken():
-    good = tiff.stored([np.zeros((4, 64), np.uint8)])
-    assert [p.error for p in tiff.walk(b"")] == ["not a TIFF file"]
-    for n in range(0, len(good), 7):
-        assert all(p.error or p.pixels is not None for p in tiff.walk(good[:n]))
-    loop = bytearray(good)
-    loop[-4:] = loop[4:8]
-    assert len(list(tiff.walk(bytes(loop)))) == 1
-    assert tiff.packbits(bytes([254, 7, 1, 8, 9, 128]), 99) == bytes([7, 7, 7, 8, 9])
-
-
-def test_tiff_query(spark, odd):
-    media = tiff.text_media(odd)
-    got = tiff.tiff_pages(media, keep=("doc_id", "n_bytes")).collect()
-    expected = collections.Counter((i, len((t or "").encode()), tiff.payload((t or "").encode())) for i, t in odd_rows())
-    assert collections.Counter((r.doc_id, r.n_bytes, bytes(r.pixels)) for r in got) == expected
-    q = queries.op2_tiff_media(spark, D).first()
-    assert len(q.payload_sha256) == 64 and q.payload_bytes % 64 == 0
-
-
 def encoded(texts):
     tokenizers = pytest.importorskip("tokenizers")
     tok = tokenizers.Tokenizer.from_file(queries.WORD_BPE)
@@ -202,51 +139,6 @@ def test_toxicity(spark):
     assert sum(x.predicted == (x.doc_id % 8 == 0) for x in held) >= 0.98 * len(held)
 
 
-def brute_lines(rows, gram=2, window=2):
-    """The definition, place by place."""
-    docs = sorted({(i is not None, i or 0, t or "") for i, t in rows}, key=lambda d: (d[0], d[1], xxhash.xxh64_intdigest(d[2].encode(), 42) & 0x7FFFFFFF))
-    first, out = {}, {}
-    lines = {d: linededup.line_hashes(d[2].encode()) for d in docs}
-    for d in docs:
-        runs = []
-        for at, g in linededup.selected(lines[d], gram, window):
-            source = first.setdefault(g, (d, at))
-            if source == (d, at):
-                continue
-            a = b = 0
-            while a < window and at - a > 0 and source[1] - a > 0 and lines[d][at - a - 1] == lines[source[0]][source[1] - a - 1]:
-                a += 1
-            while b < window and at + gram + b < len(lines[d]) and source[1] + gram + b < len(lines[source[0]]) and lines[d][at + gram + b] == lines[source[0]][source[1] + gram + b]:
-                b += 1
-            runs.append((at - a, at + gram + b))
-        out[d] = linededup.without_runs(d[2].encode(), runs, gram + window - 1)[0].decode()
-    return out
-
-
-def test_line_dedup(spark, odd, docs):
-    r = random.Random(6)
-    lines = [f"line {i}" for i in range(12)]
-    rows = [(i, "\n".join(r.choice(lines) for _ in range(r.randrange(0, 15)))) for i in range(60)] + odd_rows()
-    table = spark.createDataFrame([(i, t, "keep") for i, t in rows], "doc_id long, text string, n_lines string")
-    found = linededup.line_dedup(table).collect()
-    expected = brute_lines(rows)
-    assert len(found) == len(rows)
-    got = collections.Counter((r.doc_id, r.text or "") for r in found)
-    assert got == collections.Counter((i, expected[(i is not None, i or 0, t or "")]) for i, t in rows)
-    first = "intro a\nb\nc\nd\ne"
-    pair = spark.createDataFrame([(1, first), (2, "own\nb\nc\nd\nown too"), (3, "b\nc")], "doc_id long, text string")
-    assert {r.doc_id: r.text for r in linededup.line_dedup(pair).collect()} == {1: first, 2: "own\nown too", 3: "b\nc"}
-
-
-def test_line_dedup_words(spark):
-    """Repeated runs of one or two lines go when they have 20 words; shorter ones stay."""
-    long, half, rest = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("a", 20), ("b", 12), ("c", 8)))
-    short = " ".join(f"d{i}" for i in range(19))
-    rows = [(1, f"one\n{long}\ntwo\n{half}\n\n{rest}\nthree\n{short}"), (2, f"x\n {long}\ny"), (3, f"x2\n{half}\n{rest}\ny2"), (4, f"x3\n{short}\ny3"), (5, f"x4\n{half}\ny4"), (6, long), (7, f"x5\n{long}\ntwo\ny5")]
-    found = {x.doc_id: (x.text, x.n_deleted_lines) for x in linededup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert found == {1: (rows[0][1], 0), 2: ("x\ny", 1), 3: ("x2\ny2", 2), 4: (rows[3][1], 0), 5: (rows[4][1], 0), 6: ("", 1), 7: ("x5\ny5", 2)}
-
-
 def brute_fingerprint(text, size=4):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     words = re.findall(WORD, low)
@@ -308,53 +200,6 @@ def test_simhash_links(spark):
         assert all(len(x) == 1 for x in own.values()) and len(own) == sum(n > 1 for n in groups.values())
 
 
-def test_spans(spark, odd):
-    r = random.Random(8)
-    sentences = [" ".join(f"w{r.randrange(40)}" for _ in range(r.randrange(1, 18))) + "." for _ in range(25)]
-    rows = [(i, r.choice([" ", "\n"]).join(r.choice(sentences) for _ in range(r.randrange(0, 14)))) for i in range(50)] + odd_rows()
-    docs_ = sorted({(i is not None, i or 0, t or "") for i, t in rows}, key=lambda d: (d[0], d[1], xxhash.xxh64_intdigest(d[2].encode(), 42) & 0x7FFFFFFF))
-    first, expected = {}, {}
-    for d in docs_:
-        gone = set()
-        for start, n, h in spans.spans(d[2]):
-            if first.setdefault(h, (d, start, n)) != (d, start, n):
-                gone.update(range(start, start + n))
-        cut = spans.sentences(d[2])
-        expected[d] = d[2][: cut[0][0]] + "".join(d[2][a:b] for k, (a, b) in enumerate(cut) if k not in gone) if gone else d[2]
-    table = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, n_removed_sentences string")
-    found = spans.span_dedup(table).collect()
-    assert collections.Counter((x.doc_id, x.text or "") for x in found) == collections.Counter((i, expected[(i is not None, i or 0, t or "")]) for i, t in rows)
-    passage = "The quick brown fox jumps over the lazy dog again. Then it sleeps for a while, and it dreams of hens and of geese."
-    two = spark.createDataFrame([(1, "Mine. " + passage + " End."), (2, "Yours is another one. " + passage + " Other end.")], "doc_id long, text string")
-    assert {x.doc_id: x.text for x in spans.span_dedup(two).collect()}[2] == "Yours is another one. Other end."
-
-
-def test_span_pieces_cover_the_text():
-    r = random.Random(9)
-    for _ in range(300):
-        text = "".join(r.choice(["a", "bc", " ", " ", ".", "\n", "! ", "d, "]) for _ in range(r.randrange(400)))
-        cut = spans.sentences(text)
-        assert all(x[1] == y[0] for x, y in itertools.pairwise(cut))
-        assert not cut or (cut[-1][1] == len(text) and not text[: cut[0][0]].strip())
-        assert cut or not text.strip()
-
-
-def test_span_passages(spark):
-    """Of a repeated passage of 50 words or more, wherever its edges lie, only edges of at most 15 words stay."""
-    r = random.Random(10)
-    rows, inner = [], {}
-    for i in range(150):
-        words = [f"w{r.randrange(10**6)}" + ("." if r.random() < (0, 1 / 24, 1 / 12)[i % 3] else "") for _ in range(r.randrange(50, 62))]
-        for copy in range(2):
-            around = [" ".join(f"y{r.randrange(10**6)}" for _ in range(r.randrange(0, 30))) + r.choice(["", ".", "\n"]) for _ in range(2)]
-            rows.append((2 * i + copy, f"{around[0]} {' '.join(words)} {around[1]}"))
-        inner[2 * i + 1] = words[15:-15]
-    found = {x.doc_id: x.text.split() for x in spans.span_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert all(len(x) >= 20 for x in inner.values())
-    assert not any(set(words) & set(found[i]) for i, words in inner.items())
-    assert all(found[i] == text.split() for i, text in rows if not i % 2)
-
-
 def brute_repeat(text, window=8):
     words = re.findall(WORD, text or "")
     windows = [tuple(words[i : i + window]) for i in range(len(words) - window + 1)]
@@ -389,37 +234,6 @@ def test_rule_order(spark, docs):
     assert set(results[0]) == kept
 
 
-def test_licences(spark):
-    body = "Some words of a file that no licence has. " * 30
-    rows = [
-        (1, "r/LICENSE", "Released under the MIT License."),
-        (2, "r/a/b/x.txt", body),
-        (3, "r/a/LICENSE.txt", "Licensed under the Apache License, Version 2.0.\n" + body),
-        (4, "r/c/y.txt", body + "\nThis work is licensed under the GNU General Public License, version 3.\n" + body),
-        (5, "r/c/z.txt", None),
-        (6, "other/q.txt", ""),
-        (7, None, body),
-        (7, None, body),
-        (8, "r/c/w.txt", "the version of the work that this is"),
-        (9, "top.txt", "All rights reserved."),
-    ]
-    table = spark.createDataFrame([(*r, "n") for r in rows], "doc_id long, path string, text string, license string")
-    found = licences.licence_scan(table, keep=("doc_id",)).collect()
-    assert len(found) == len(rows)
-    got = {r.doc_id: (r.own_license, r.license, r.license_from, r.levels) for r in found}
-    assert got == {
-        1: ("MIT", "MIT", None, None),
-        2: (None, "Apache-2.0", "r/a", 1),
-        3: ("Apache-2.0", "Apache-2.0", None, None),
-        4: ("GPL-3.0-only", "GPL-3.0-only", None, None),
-        5: (None, "MIT", "r", 1),
-        6: (None, None, None, None),
-        7: (None, None, None, None),
-        8: (None, "MIT", "r", 1),
-        9: ("LicenseRef-all-rights-reserved", "LicenseRef-all-rights-reserved", None, None),
-    }
-
-
 def test_simhash_nearest():
     """The forest of each run connects what links within the threshold connect, for short runs and long ones."""
     r = random.Random(11)
