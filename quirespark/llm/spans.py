@@ -1,17 +1,22 @@
 """Substring deduplication by sliding sentence spans.
 
-A text is cut into sentences (after ``. ! ?`` and the like before white space, and at line ends). Longer ones are cut further
-by winnowing: of every ``WINDOW`` words in a row without a sentence's end, the text is cut behind the one with the smallest
-hash. So each window has a cut that depends on its own words only, and equal passages are cut alike wherever they stand, but
-for at most ``WINDOW`` words at either edge: of a passage of 50 words, 20 or more in at least two whole sentences are left.
-From every sentence, which is what the pieces are called from here on, a
-span runs forward to the first sentence where it has ``least_sentences`` and ``least_words``, and another runs backward in
-the same way. A span is hashed over its words, lower-cased; spans meet globally by hash, and the sentences of each span that
-is not the first of its hash, in the order of id, text hash and position, are removed with the white space behind them.
-So of a passage that has two sentences and ``least_words`` words, every sentence is covered by a span inside it.
-
-Null and empty texts have no sentences and stay. Rows with the same id and text are one document: they get the same result.
-Other columns pass through, whatever their names.
+A text is cut into sentences (after ``. ! ?`` and the like before white space, and at line ends). Where ``WINDOW`` words in a row
+have no sentence's end, as in text without punctuation, the text is cut behind the one with the smallest hash, the last of
+equal ones, and so for each such window. A window's cut depends on its own words only, so equal passages are cut alike wherever
+they stand, but for at most ``WINDOW`` words at either edge: of a passage of 50 words, 20 or more in at least two whole pieces
+are left. What the cuts leave are called sentences from here on.
+
+A run of ``least_sentences`` and ``least_words`` or more is repeated if its sentences, lower-cased, stand at an earlier place too,
+in the order of id, text hash and position; the sentences of every repeated run go, with the white space behind them, and the
+first place stays. A longer run holds the shortest ones that begin or end at its sentences, and these cover all of it: those
+from its first sentences forward, as far as they end inside, and the one that ends with its last. So only the shortest runs of
+either direction are hashed, about one for each sentence and direction, and every sentence of any longer repeated run is found.
+A span's hash is of its words alone, so it also meets a place where the same words are cut in another way.
+
+Spans are counted globally by 64 bits of their hash; the few that occur again are compared by 128 bits. Null and empty texts have
+no sentences and stay; a text of any length is taken whole. Rows with the same id and text are one document: they get the same
+result. Null ids come first in the order. An empty table gives none. Other columns pass through, whatever their names;
+``n_removed_sentences`` replaces a column of that name.
 """
 
 from __future__ import annotations
@@ -20,45 +25,61 @@ import re
 from collections.abc import Iterator
 from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from quirespark.llm.common import arrow_schema, map_rows, slices, text_key, with_columns, written
+from quirespark.llm.common import arrow_schema, dropped, map_rows, slices, text_key, with_columns, written
 
 LEAST_SENTENCES = 2
 LEAST_WORDS = 20
 #: The end of a sentence with the white space behind it.
 BREAK = re.compile(r"[.!?…。！？]+[\"'”’»)\]]*\s+|\n\s*")
-
-
+#: A word with the white space behind it.
 _WORD = re.compile(r"\S+\s*")
 _ENDED = re.compile(r"[.!?…。！？][\"'”’»)\]]*$")
 #: Words of which one at least ends a piece: 50 less 2 of these at the edges leave ``LEAST_WORDS``, in two pieces or more.
 WINDOW = 15
 
 
+class _Ranks(dict):
+    """A word's hash, with white space behind it or not; the memory starts again when it is full."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 400_000:
+            self.clear()
+        self[word] = rank = crc32(word.rstrip().lower().encode())
+        return rank
+
+
+_ranks = _Ranks()
+
+
 def _cut(text: str, start: int, end: int, ended: bool) -> list[tuple[int, int]]:
     """The sentence's pieces; its last word has no part in a window if it is known to end a sentence."""
-    words = list(_WORD.finditer(text, start, end))
+    words = _WORD.findall(text, start, end)
     n = len(words) - ended
     if n < WINDOW:
         return [(start, end)]
-    ranks = [crc32(w[0].rstrip().lower().encode()) for w in words[:n]]
-    out, at, last = [], start, -1
-    for first in range(n - WINDOW + 1):
+    ranks = [_ranks[w] for w in words[:n]]
+    cuts, last = [], -1
+    for new in range(WINDOW - 1, n):
         # The last of equal ones; as long as it stays in the window only the word that came in can replace it.
-        new = first + WINDOW - 1
-        if last < first:
-            last = min(range(new, first - 1, -1), key=ranks.__getitem__)
+        if last <= new - WINDOW:
+            last = min(range(new, new - WINDOW, -1), key=ranks.__getitem__)
         elif ranks[new] <= ranks[last]:
             last = new
         else:
             continue
-        out.append((at, words[last].end()))
-        at = words[last].end()
+        cuts.append(last + 1)
+    out, at, done = [], start, 0
+    for cut in cuts:
+        stop = at + sum(map(len, words[done:cut]))
+        out.append((at, stop))
+        at, done = stop, cut
     if at < end:
         out.append((at, end))
     return out
@@ -80,8 +101,8 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def spans(text: str, least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS) -> list[tuple[int, int, int]]:
-    """``(first sentence, sentences, hash)`` of every span, each once."""
+def spans(text: str, least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS) -> tuple[list[tuple[int, int]], bytes]:
+    """``(first sentence, the one behind the last)`` of every span, each once, and their hashes of 16 bytes, joined."""
     words = [text[a:b].lower().split() for a, b in sentences(text)]
     counts = [len(w) for w in words]
     joined = [" ".join(w).encode() for w in words]
@@ -105,29 +126,27 @@ def spans(text: str, least_sentences: int = LEAST_SENTENCES, least_words: int =
             break
         found.add((start, end))
         total -= counts[end - 1]
-    digest = xxhash.xxh64_intdigest
-    return [(a, b - a, digest(b" ".join(joined[a:b])) - (1 << 63)) for a, b in sorted(found)]
+    digest = xxhash.xxh3_128_digest
+    ordered = sorted(found)
+    return ordered, b"".join([digest(b" ".join(joined[a:b])) for a, b in ordered])
 
 
 def occurrences(docs: DataFrame, key: str, text: str, least_sentences: int, least_words: int) -> DataFrame:
-    """Rows ``(span, id, place)``. ``place`` packs 31 bits of the text's hash, 26 of the first sentence and 6 of the length.
-
-    A span is the shortest that reaches ``least_words``, so it has fewer than 63 sentences when that is under 60.
-    """
-    if not 0 < max(least_words, least_sentences) < 60:
-        raise ValueError("least_words and least_sentences are from 1 to 59")
-    ddl = f"span long, id {docs.schema[key].dataType.simpleString()}, place long"
+    """Rows ``(span, more, id, th, place)``: 64 and 64 bits of the hash; ``place`` is the first sentence above 32 bits of their number."""
+    ddl = f"span long, more long, id {docs.schema[key].dataType.simpleString()}, th long, place long"
     schema = arrow_schema(ddl)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            row, hashes, places = [], [], []
-            for i, (th, one) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                for start, length, value in spans(one, least_sentences, least_words) if one else ():
-                    row.append(i)
-                    hashes.append(value)
-                    places.append(th << 32 | start << 6 | length)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), batch.column(0).take(pa.array(row, pa.int64())), pa.array(places, pa.int64())], schema=schema)
+            counts, hashes, places = [], [], []
+            for one in batch.column(2).to_pylist():
+                own, digests = spans(one, least_sentences, least_words) if one else ((), b"")
+                counts.append(len(own))
+                hashes.append(digests)
+                places += [a << 32 | b - a for a, b in own]
+            row = pa.array(np.repeat(np.arange(len(counts)), counts))
+            both = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), batch.column(0).take(row), batch.column(1).take(row), pa.array(places, pa.int64())], schema=schema)
 
     return map_rows(docs.select(F.col(key).alias("id"), text_key(text).alias("th"), F.col(text).cast("string").alias("text")), ddl, found)
 
@@ -135,13 +154,18 @@ def occurrences(docs: DataFrame, key: str, text: str, least_sentences: int, leas
 def repeated(found: DataFrame) -> DataFrame:
     """Rows ``(id, th, places)``: the spans of a document that are not the first of their hash.
 
-    The first place of a hash is one aggregate, combined before its exchange, kept only where the hash occurs twice. It is
-    written to the shared folder, so that both sides of the join are plain exchanges, which adaptive execution can split
-    where a hot passage has many places; an aggregate in the join's own stage would forbid that.
+    Spans are counted first, combined before the exchange; only those that occur again meet their places. The tables joined are
+    written to the shared folder, so that both sides are plain exchanges, which adaptive execution can split where a hot
+    passage has many places; an aggregate in the join's own stage would forbid that.
     """
-    first, _ = written(found.groupBy("span").agg(F.min(F.struct("id", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "spans")
-    later = found.join(first, "span").where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("place") == F.col("first.place"))))
-    return later.select("id", F.shiftright("place", 32).alias("th"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("at")).groupBy("id", "th").agg(F.collect_set("at").alias("places"))
+    spark = found.sparkSession
+    again, again_path = written(found.groupBy("span").agg(F.count("*").alias("n")).where("n > 1").select("span"), "spans")
+    met, met_path = written(found.join(again.hint("merge"), "span"), "met")
+    first, first_path = written(met.groupBy("span", "more").agg(F.min(F.struct("id", "th", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
+    later = met.join(first.hint("merge"), ["span", "more"]).where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th")) & (F.col("place") == F.col("first.place"))))
+    places, _ = written(later.groupBy("id", "th").agg(F.collect_set("place").alias("places")), "places")
+    dropped(spark, again_path, met_path, first_path)
+    return places
 
 
 def without(text: str, places: list[int]) -> tuple[str, int]:
@@ -149,8 +173,8 @@ def without(text: str, places: list[int]) -> tuple[str, int]:
     cut = sentences(text)
     gone = set()
     for place in places:
-        start = place >> 6
-        gone.update(range(start, start + (place & 63)))
+        start = place >> 32
+        gone.update(range(start, start + (place & 0xFFFFFFFF)))
     kept = [text[a:b] for i, (a, b) in enumerate(cut) if i not in gone]
     head = text[: cut[0][0]] if cut else ""
     return head + "".join(kept), len(gone)
@@ -160,7 +184,7 @@ def span_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", least_s
     """``docs`` with sentences of later repeated spans removed from ``text``, and ``n_removed_sentences`` (long) added."""
     again = repeated(occurrences(docs, key, text, least_sentences, least_words)).select(F.col("id").alias("__quire_id"), F.col("th").alias("__quire_th"), F.col("places").alias("__quire_places"))
     keyed = docs.withColumn("__quire_key", text_key(text))
-    joined = keyed.join(again, keyed[key].eqNullSafe(again["__quire_id"]) & (keyed["__quire_key"] == again["__quire_th"]), "left").select(*[F.col(f"`{c}`") for c in docs.columns], "__quire_places")
+    joined = keyed.join(again.hint("merge"), keyed[key].eqNullSafe(again["__quire_id"]) & (keyed["__quire_key"] == again["__quire_th"]), "left").select(*[F.col(f"`{c}`") for c in docs.columns], "__quire_places")
     names = docs.columns
     out = with_columns(docs.schema, text, "n_removed_sentences")
     schema = to_arrow_schema(out)
