@@ -1,14 +1,19 @@
 """BPE encoding and decoding by a table of distinct words.
 
 Words are runs without ASCII white space, which no token crosses. A partition's documents form segments of bounded text.
-Each segment gives its distinct words once, dealt into buckets by a hash; a bucket meets in one task, which encodes each
-distinct word once, however often and wherever it occurs. The ids return to their segment, where the documents' words take
-them by position. Pieces come from the id-to-piece table of the vocabulary, whose size is fixed.
-
-Only two things are exchanged: a compressed list of distinct words a segment and bucket, with the ids back, and each
-segment's texts, compressed. A word in every document costs one entry a segment, so frequent words make no hot task.
-
-Null and empty texts have no ids; their digests are those of the empty string. Repeated rows each get their row.
+Each segment gives its distinct words once, dealt into buckets by a hash. A bucket's lists meet, and what they hold, each word
+once, is that bucket's part of the word table: every distinct word of all documents is encoded exactly once, however often and
+wherever it occurs. The lists take their words' ids from the table by position and return to their segment, where the ids meet
+the id-to-piece table of the vocabulary, whose size is fixed, in a join on the id (the piece table is dense, so the join is a
+take), and the documents' words take both by position.
+
+Two things are exchanged: a compressed list of distinct words a segment and bucket, with the ids back, and each segment's texts,
+compressed. A word in every document costs one entry a segment, so frequent words make no hot task. Segments and buckets are of
+a fixed size and their numbers follow the data, so no task grows with it; an empty list is not sent, so there are never more
+lists than different words in segments.
+
+Null and empty texts have no ids; their digests are those of the empty string. A text of any length is taken whole (one longer
+than a segment is a segment of its own). Repeated rows each get their row; an empty table gives none. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,6 +27,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -32,8 +38,10 @@ from quirespark.llm.common import arrow_schema, map_rows, slices, utf8
 #: Entries that a worker remembers; the memory is emptied when it is full, which costs time and changes nothing.
 MOST_PARTS, MOST_WORDS = 700_000, 300_000
 #: Text of a segment, about; a longer document is a segment of its own.
-SEGMENT_BYTES = 32 << 20
+SEGMENT_BYTES = 4 << 20
 BLOB_BYTES = 4 << 20
+#: Text of which a bucket holds the distinct words, as if they were dealt out evenly.
+BUCKET_BYTES = 16 << 20
 
 #: The normaliser and the pre-tokeniser that the fast path follows, and what it follows them on: ASCII and
 #: Latin-1 letters, which normalise to their lower case alone.
@@ -138,7 +146,7 @@ def segments(docs: DataFrame, key: str, text: str, most: int = SEGMENT_BYTES) ->
     schema = arrow_schema(ddl)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=6)
+        pack = zstandard.ZstdCompressor(level=5)
         for seg, keys, texts in _segmented(batches, most):
             row = [[seg], [keys.to_pylist()], [[len(x) for x in texts]], [pack.compress(b"".join(texts))]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, schema.types)], schema=schema)
@@ -170,7 +178,7 @@ def distinct_words(docs: DataFrame, key: str, text: str, buckets: int, most: int
     schema = arrow_schema(ddl)
 
     def listed(seg: int, words: set[bytes]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=6)
+        pack = zstandard.ZstdCompressor(level=3)
         rows = [(seg, i, pack.compress(b"\n".join(x))) for i, x in enumerate(_dealt(words, buckets)) if x]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
@@ -189,24 +197,78 @@ def distinct_words(docs: DataFrame, key: str, text: str, buckets: int, most: int
     return map_rows(docs.select(key, F.col(text).cast("string").alias("text")), ddl, made)
 
 
+def _lists(table: pa.Table) -> list[bytes]:
+    open_ = zstandard.ZstdDecompressor()
+    return [open_.decompress(x) for x in table.column("words").to_pylist()]
+
+
+def _word_ids(lists: list[bytes], path: str) -> dict[bytes, bytes]:
+    """A bucket's part of the word table: each distinct word of its lists, encoded once."""
+    encode = encoder(path).make
+    return {w: encode(w) for w in dict.fromkeys(w for x in lists for w in x.split(b"\n"))}
+
+
 def encoded_words(words: DataFrame, path: str, buckets: int) -> DataFrame:
     """Rows ``(seg, bucket, crc, ids)``: the ids of each list of words, in its order; ``crc`` is the list's."""
     ddl = "seg long, bucket int, crc long, ids binary"
     schema = arrow_schema(ddl)
 
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, open_, pack = encoder(path), zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=6)
-        for batch in batches:
-            crcs, out = [], []
-            for blob in batch.column(2).to_pylist():
-                listed = open_.decompress(blob)
-                found = list(map(ids.__getitem__, listed.split(b"\n")))
-                sizes = np.fromiter(map(len, found), dtype="<u4", count=len(found)) // 4
-                crcs.append(zlib.crc32(listed))
-                out.append(pack.compress(np.concatenate((np.array([len(found)], "<u4"), sizes, np.frombuffer(b"".join(found), "<u4"))).tobytes()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(crcs, pa.int64()), pa.array(out, pa.binary())], schema=schema)
+    def made(lists: pa.Table) -> pa.Table:
+        pack = zstandard.ZstdCompressor(level=3)
+        held = _lists(lists)
+        get = _word_ids(held, path).__getitem__
+        crcs, out = [], []
+        for listed in held:
+            found = list(map(get, listed.split(b"\n")))
+            sizes = np.fromiter(map(len, found), dtype="<u4", count=len(found)) // 4
+            crcs.append(zlib.crc32(listed))
+            out.append(pack.compress(np.concatenate((np.array([len(found)], "<u4"), sizes, np.frombuffer(b"".join(found), "<u4"))).tobytes()))
+        return pa.Table.from_arrays([lists.column("seg"), lists.column("bucket"), pa.array(crcs, pa.int64()), pa.array(out, pa.binary())], schema=schema)
+
+    return words.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(made, ddl)
+
+
+def word_table(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
+    """Rows ``(word, ids, decoded)``: every distinct word of all documents, once, with its ids and their pieces joined by a space."""
+    ddl = "word string, ids array<int>, decoded string"
+    schema = arrow_schema(ddl)
 
-    return words.repartition(buckets, "bucket").mapInArrow(made, ddl)
+    def made(lists: pa.Table) -> pa.Table:
+        found = _word_ids(_lists(lists), path)
+        flat = np.frombuffer(b"".join(found.values()), "<u4")
+        counts = np.array([len(x) // 4 for x in found.values()], np.int64)
+        ids = pa.ListArray.from_arrays(pa.array(_ends(counts), pa.int32()), pa.array(flat.astype("i4")))
+        decoded = _joined(piece_table(path), flat, counts)
+        return pa.Table.from_arrays([pa.array([w.decode() for w in found], pa.string()), ids.cast(schema.types[1]), decoded.cast(pa.string())], schema=schema)
+
+    buckets = buckets or bucket_count(docs, text)
+    return distinct_words(docs, key, text, buckets).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(made, ddl)
+
+
+def bucket_count(docs: DataFrame, text: str) -> int:
+    """Buckets by the size of the texts: one number is asked of the table."""
+    size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
+    return max(16, -(-size // BUCKET_BYTES))
+
+
+_piece_tables: dict[str, pa.Array] = {}
+
+
+def piece_table(path: str) -> pa.Array:
+    """The id-to-piece table: the piece of id i at place i."""
+    if path not in _piece_tables:
+        _piece_tables[path] = pa.array([x.encode() for x in pieces(path)], pa.large_binary())
+    return _piece_tables[path]
+
+
+def _ends(counts: np.ndarray) -> np.ndarray:
+    return np.concatenate((np.zeros(1, np.int64), np.cumsum(counts)))
+
+
+def _joined(names: pa.Array, flat: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """The names of each word's ids, taken by id and joined by a space."""
+    taken = pa.LargeListArray.from_arrays(pa.array(_ends(counts)), names.take(pa.array(flat)))
+    return pc.binary_join(taken, pa.scalar(b" ", pa.large_binary()))
 
 
 def _table(dealt: list[list[bytes]], lists: dict[int, tuple[int, bytes]], path: str) -> dict[bytes, tuple[bytes, bytes]]:
@@ -215,23 +277,24 @@ def _table(dealt: list[list[bytes]], lists: dict[int, tuple[int, bytes]], path:
     A list that isn't the one its ids were made for (the rows of a scan can come in another order when a task runs again)
     is encoded here.
     """
-    out: dict[bytes, tuple[bytes, bytes]] = {}
-    names = [x.encode() for x in pieces(path)]
-    decimals = [b"%d" % i for i in range(len(names))]
     open_ = zstandard.ZstdDecompressor()
+    flats, counts = [np.empty(0, "<u4")], [np.empty(0, np.int64)]
     for bucket, words in enumerate(dealt):
+        if not words:
+            continue
         crc, blob = lists.get(bucket, (-1, b""))
-        if words and crc == zlib.crc32(b"\n".join(words)):
+        if crc == zlib.crc32(b"\n".join(words)):
             flat = np.frombuffer(open_.decompress(blob), "<u4")
-            start = len(words) + 1
-            ends = (np.cumsum(flat[1:start]) + start).tolist()
-            numbers = flat.tolist()
-            owned = [numbers[a:b] for a, b in zip([start, *ends], ends)]
+            counts.append(flat[1 : len(words) + 1].astype(np.int64))
+            flats.append(flat[len(words) + 1 :])
         else:
-            owned = [np.frombuffer(encoder(path)[w], "<u4").tolist() for w in words]
-        for word, own in zip(words, owned):
-            out[word] = (b" ".join([decimals[i] for i in own]), b" ".join([names[i] for i in own]))
-    return out
+            own = [encoder(path)[w] for w in words]
+            counts.append(np.array([len(x) // 4 for x in own], np.int64))
+            flats.append(np.frombuffer(b"".join(own), "<u4"))
+    flat, count = np.concatenate(flats), np.concatenate(counts)
+    names = piece_table(path)
+    decimals = pa.array(np.arange(len(names))).cast(pa.string()).cast(pa.large_binary())
+    return dict(zip((w for words in dealt for w in words), zip(_joined(decimals, flat, count).to_pylist(), _joined(names, flat, count).to_pylist())))
 
 
 def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
@@ -245,7 +308,7 @@ def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
 
 def coded(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", buckets: int | None = None, digests: bool = False) -> DataFrame:
     """Per row: key, ``ids`` (array of int) and ``decoded``; or their digests."""
-    buckets = buckets or max(16, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    buckets = buckets or bucket_count(docs, text)
     ids = encoded_words(distinct_words(docs, key, text, buckets), path, buckets)
     kind = docs.schema[key].dataType.simpleString()
     ddl = f"{key} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else f"{key} {kind}, ids array<int>, decoded string"
