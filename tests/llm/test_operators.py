@@ -224,9 +224,13 @@ def test_rules(spark, odd, docs):
 
 
 def test_rule_order(spark, docs):
-    costs = {"a": (1.0, 0.5), "b": (0.1, 0.2), "c": (0.1, 0.0)}
-    made = tuple(rules.Rule(n, lambda d: False) for n in "abc")
-    assert [x.name for x in rules.ordered(made, costs)] == ["b", "a", "c"]
+    """Step by step by rejection per cost: what is computed already is free, what is rejected already counts no more."""
+    made = (rules.Rule("a", lambda d: False, ("words",)), rules.Rule("b", lambda d: False, ("words", "n_repeat_words")), rules.Rule("c", lambda d: False, ("n_symbols",)))
+    costs = rules.Costs(("a", "b", "c"), {"words": 1.0, "n_repeat_words": 2.0, "n_symbols": 1.0, "a": 0.1, "b": 0.1, "c": 0.1}, {0b000: 50, 0b011: 30, 0b010: 5, 0b100: 15, 0b101: 5})
+    assert [x.name for x in rules.ordered(made, costs)] == ["a", "c", "b"]
+    # All features ready: 35 rejections by a, 35 by b, 20 by c; then what is left of them.
+    assert [x.name for x in rules.ordered(made, costs, ready=tuple(rules.FEATURES))] == ["a", "c", "b"]
+    assert rules.ordered(made, rules.Costs((), {}, {})) == made
     every = rules.BASE_RULES + rules.METHOD_RULES
     results = [sorted(r.doc_id for r in rules.passing(docs, order).collect()) for order in (every, tuple(reversed(every)), rules.cascade(docs))]
     assert results[0] == results[1] == results[2]
@@ -234,6 +238,18 @@ def test_rule_order(spark, docs):
     assert set(results[0]) == kept
 
 
+def test_rule_sample(spark):
+    """One text in 100,000 rows: the sample has its bound and its share of it, and what the rules say is as measured."""
+    table = spark.range(100_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "few words").otherwise(F.concat(F.lit("w "), F.col("id").cast("string"), F.expr("repeat(' one more of many words here', 5)"))).alias("text"))
+    every = rules.BASE_RULES + rules.METHOD_RULES
+    costs = rules.measured(table, every)
+    n = sum(costs.rejected.values())
+    assert 1000 < n <= 4000
+    assert 0.4 * n < sum(k for p, k in costs.rejected.items() if p & 1) < 0.6 * n
+    assert set(costs.seconds) == {*rules.FEATURES, *(r.name for r in every)} and len(costs.rejected) <= 2 ** len(every)
+    assert rules.passing(table, rules.cascade(table)).count() == sum(not any(r.fails(rules.Document(x.text.encode())) for r in every) for x in table.limit(2).collect()) * 50_000
+
+
 def test_simhash_nearest():
     """The forest of each run connects what links within the threshold connect, for short runs and long ones."""
     r = random.Random(11)
