@@ -139,16 +139,39 @@ def with_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text")
 def variants(fps: DataFrame) -> DataFrame:
     """Rows ``(bucket, fp)`` for a column ``fp`` of distinct fingerprints: 3 whole segments and 64 segments without a bit.
 
-    ``bucket`` holds the variant's number (0 to 66) above the segment's bits, so keys of different variants never meet.
+    ``bucket`` holds the variant's number (0 to 66) above the segment's bits, so keys of different variants never meet. Few
+    rows become many, so they are dealt out first: a small file of fingerprints would be read by a few tasks.
     """
-    keys, number = [], 0
-    for first, width in SEGMENTS:
-        segment = F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << width) - 1))
-        for left_out in (None, *range(width)):
-            rest = segment if left_out is None else segment.bitwiseAND(F.lit(((1 << width) - 1) ^ (1 << left_out)))
-            keys.append(rest.bitwiseOR(F.lit(number << 32)))
-            number += 1
-    return fps.select(F.explode(F.array(*keys)).alias("bucket"), "fp")
+    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [k for which, (first, width) in enumerate(SEGMENTS) for k in _keys(which, _segment(first, width))]
+    return fps.repartition(n, "fp").select(F.explode(F.array(*keys)).alias("bucket"), "fp")
+
+
+def _segment(first: int, width: int) -> Column:
+    return F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << width) - 1))
+
+
+def _keys(which: int, segment: Column) -> list[Column]:
+    """The keys of a segment: as it stands, and without each of its bits."""
+    width, number = SEGMENTS[which][1], sum(w + 1 for _, w in SEGMENTS[:which])
+    full = (1 << width) - 1
+    return [segment.bitwiseAND(F.lit(full ^ gone)).bitwiseOR(F.lit((number + i) << 32)) for i, gone in enumerate((0, *(1 << b for b in range(width))))]
+
+
+def hot_keys(fps: DataFrame, block: int) -> DataFrame:
+    """Rows ``(bucket, n)``: the keys that over ``block`` fingerprints may share, ``n`` at most.
+
+    A key without a bit has the members of two segments, so one of over ``block`` members has a segment of over half as many.
+    Segments are counted, three a fingerprint, combined before the exchange, instead of keys, which are 67.
+    """
+    segments = F.array(*[F.struct(F.lit(i).alias("which"), _segment(*x).alias("segment")) for i, x in enumerate(SEGMENTS)])
+    counts = fps.select(F.explode(segments).alias("s")).select("s.which", "s.segment").groupBy("which", "segment").agg(F.count("*").alias("n"))
+    many = counts.where(F.col("n") > block // 2)
+    found = None
+    for which in range(len(SEGMENTS)):
+        own = many.where(F.col("which") == which).select(F.explode(F.array(*_keys(which, F.col("segment")))).alias("bucket"), "n")
+        found = own if found is None else found.unionAll(own)
+    return found.groupBy("bucket").agg((2 * F.max("n")).alias("n"))
 
 
 def _spanning(fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -242,9 +265,7 @@ def _linked(index: DataFrame, hot: DataFrame, edges: Callable[..., tuple[np.ndar
 
 def links(fps: DataFrame, most: int = MOST_BITS, block: int = BLOCK) -> DataFrame:
     """Edges ``(a, b)`` that connect distinct fingerprints exactly as all their links within ``most`` bits do."""
-    index = variants(fps)
-    hot = index.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > block)
-    return _linked(index, hot, lambda keys, prints: _runs(keys, prints, most), block)
+    return _linked(variants(fps), hot_keys(fps, block), lambda keys, prints: _runs(keys, prints, most), block)
 
 
 def classes(fps: DataFrame, most: int = MOST_BITS, block: int = BLOCK) -> DataFrame:
@@ -256,16 +277,18 @@ def classes(fps: DataFrame, most: int = MOST_BITS, block: int = BLOCK) -> DataFr
 def classed(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = MOST_BITS) -> DataFrame:
     """Rows ``(key, th, fp, root, component_id)``: a class is named by ``root``, its smallest fingerprint as a signed long.
 
-    Equal fingerprints are first counted as one, so a group of copies, however large, enters the search once. Rows join
-    their class on the fingerprint; a hot fingerprint is split by adaptive execution, as the class side has one row for it.
+    Equal fingerprints are first counted as one, so a group of copies, however large, enters the search once. Classes and
+    their names are written before rows and fingerprints join them, so both sides of each join are plain exchanges and
+    adaptive execution splits a hot fingerprint or a large class.
     """
     prints, _ = written(with_fingerprints(docs, key, text), "fps")
-    groups, _ = written(prints.groupBy("fp").agg(F.min(key).alias("low")), "groups")
+    groups, groups_path = written(prints.groupBy("fp").agg(F.min(key).alias("low")), "groups")
     found = classes(groups.select("fp"), most)
-    named = groups.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    low = named.join(found.select("fp"), "fp", "left_semi").groupBy("root").agg(F.min("low").alias("lowest"))
-    names = named.join(low, "root", "left").select("fp", "root", F.coalesce("lowest", "low").alias("component_id"))
-    return prints.join(names, "fp").select(key, "th", "fp", "root", "component_id")
+    named, named_path = written(groups.join(found, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "named")
+    low, low_path = written(named.groupBy("root").agg(F.min("low").alias("component_id")), "low")
+    names, _ = written(named.join(low, "root").select("fp", "root", "component_id"), "names")
+    dropped(prints.sparkSession, groups_path, named_path, low_path)
+    return prints.join(names, "fp").select(F.col(key), "th", "fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = MOST_BITS) -> DataFrame:
@@ -280,7 +303,8 @@ def _segments(prints: DataFrame) -> DataFrame:
         for first, width in WIDE_SEGMENTS:
             segment = F.shiftrightunsigned(word, first).bitwiseAND(F.lit((1 << width) - 1))
             segments.append(segment.bitwiseOR(F.lit(len(segments) << 32)))
-    return prints.select("fp", "w1", F.explode(F.array(*segments)).alias("segment"))
+    n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return prints.repartition(n, "fp").select("fp", "w1", F.explode(F.array(*segments)).alias("segment"))
 
 
 def _without_a_bit(segments: DataFrame, *others: str) -> DataFrame:
@@ -458,6 +482,7 @@ def similar_classes(docs: DataFrame, text: str = "text", least: float = SIMILARI
     nearest neighbours connect all that links within the bits connect. All pairs of a group are verified on the whole
     texts, and only those in question are read again. A link is lost only where no key joins its texts' groups.
     """
+    spark = docs.sparkSession
     ddl = "node long, fp long, " + ", ".join(f"w{i} long" for i in range(1, WORDS))
     schema = arrow_schema(ddl)
 
@@ -467,17 +492,19 @@ def similar_classes(docs: DataFrame, text: str = "text", least: float = SIMILARI
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(w.view(np.int64)) for w in words)], schema=schema)
 
     named = docs.select(_node(text).alias("node"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    prints, _ = written(map_rows(named, ddl, made).distinct(), "wide")
+    prints, prints_path = written(map_rows(named, ddl, made).distinct(), "wide")
     first = F.min(F.struct("node", *(f"w{i}" for i in range(1, WORDS)))).alias("first")
-    groups, _ = written(prints.groupBy("fp").agg(first).select("fp", "first.*"), "wide-groups")
-    near, _ = written(similar_links(groups, block).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near")
+    groups, groups_path = written(prints.groupBy("fp").agg(first).select("fp", "first.*"), "wide-groups")
+    near, near_path = written(similar_links(groups, block).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near")
     joined = components(near)
-    joined = joined.select(F.col("node").alias("fp"), "root").unionAll(joined.select(F.col("root").alias("fp"), "root").distinct())
-    members = prints.select("node", "fp").join(joined, "fp", "left").select("node", F.coalesce("root", "fp").alias("root"))
-    several = members.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
-    members, _ = written(members.join(several, "root", "left_semi"), "members")
-    texts, _ = written(named.join(members.select("node"), "node", "left_semi").dropDuplicates(["node"]), "texts")
+    joined, joined_path = written(joined.select(F.col("node").alias("fp"), "root").unionAll(joined.select(F.col("root").alias("fp"), "root").distinct()), "joined")
+    rooted, rooted_path = written(prints.select("node", "fp").join(joined, "fp", "left").select("node", F.coalesce("root", "fp").alias("root")), "rooted")
+    several, several_path = written(rooted.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root"), "several")
+    members, members_path = written(rooted.join(several, "root", "left_semi"), "members")
+    dropped(spark, prints_path, groups_path, near_path, joined_path, rooted_path, several_path)
+    texts, texts_path = written(named.join(members.select("node"), "node", "left_semi").dropDuplicates(["node"]), "texts")
     found = components(_similar(_groups(members, texts, block), least))
+    dropped(spark, members_path, texts_path)
     return found.unionAll(found.select(F.col("root").alias("node"), "root").distinct())
 
 
@@ -487,12 +514,15 @@ def one_of_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
     The document with the smallest key that is not null stays, with all its columns; equal texts are similar, and texts
     without a word are similar to each other. Rows that repeat both its key and its text leave.
     """
-    found, _ = written(similar_classes(docs.select(text), text, least), "similar")
+    found, found_path = written(similar_classes(docs.select(text), text, least), "similar")
     rows = docs.select(F.col(key), text_key(text).alias("th"), _node(text).alias("node"))
     first = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), "th")).alias("first")
     # The least row of each text is found before classes are joined, so copies of a text cross no exchange twice.
-    texts = rows.groupBy("node").agg(first).join(found, "node", "left")
+    least_rows, rows_path = written(rows.groupBy("node").agg(first), "rows")
+    texts = least_rows.join(found, "node", "left")
     kept = texts.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
+    kept, _ = written(kept, "kept")
+    dropped(docs.sparkSession, rows_path, found_path)
     return _kept(docs, kept, key, text)
 
 
