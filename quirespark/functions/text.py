@@ -6,18 +6,24 @@ from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from quirespark.languages import PLAIN, Language, folded
+from quirespark.languages import PLAIN, Language, folded, same
 
-#: A run of letters, marks and digits; every other character that is no white space is punctuation.
+#: A run of letters, marks and digits; every other character that is no white space, symbols included, is punctuation.
 WORD = r"([\p{L}\p{M}\p{N}]+)"
 #: Symbols count as words though they are punctuation.
 SYMBOLS = frozenset("=+$%€°£#<>")
 _RUN = regex.compile(r"\S+")
+_NEWLINE = regex.compile("\n")
+#: Postings that a task gives on at once.
+BATCH_ROWS = 50_000
 _PUNCTUATION = regex.compile(r"[\p{P}\p{S}]+")
 
 
@@ -154,7 +160,7 @@ def searched(text: str, language: Language = PLAIN, gaps: bool = False) -> list[
     """The query side: ``(term, increment)`` without punctuation; with ``gaps`` a lone ``*`` widens the next increment."""
     out: list[tuple[str, int]] = []
     waiting = 1
-    for piece, _, _ in cut(language.normalised(text), language):
+    for piece, _, _ in cut(language.normalised(language.decompose(text)), language):
         if gaps and piece == "*":
             waiting += 1
             continue
@@ -166,6 +172,44 @@ def searched(text: str, language: Language = PLAIN, gaps: bool = False) -> list[
     return out
 
 
+def with_alternatives(words: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """``words`` (content, ...) with ``alternatives``: the other spellings that ``lexicon`` (word, other) has of each, by an equality join."""
+    known = lexicon.groupBy(F.lower("word").alias("__word")).agg(F.sort_array(F.collect_set("other")).alias("alternatives"))
+    joined = words.join(known, F.lower("content") == F.col("__word"), "left")
+    return joined.withColumn("alternatives", F.coalesce("alternatives", F.array().cast("array<string>"))).drop("__word")
+
+
+def simplified(docs: DataFrame, language: Language, text: str = "text") -> DataFrame:
+    """``docs`` with the language's simpler spelling of ``text``; a language without one leaves the plan as it is."""
+    if language.simplify is same:
+        return docs
+    simplify = language.simplify
+
+    @F.pandas_udf("string")
+    def simple(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: None if x is None else simplify(x))
+
+    return docs.withColumn(text, simple(text))
+
+
+def broken(word: str) -> list[str]:
+    """A word cut at its punctuation; the quotes of an abbreviation and the points of a number stay with their neighbours."""
+    parts = regex.findall(r"\p{P}|[^\p{P}]+", word)
+    if len(parts) < 2:
+        return [word]
+    out: list[str] = []
+    glued = False
+    for i, part in enumerate(parts):
+        around = (parts[i - 1] if i else "") + part + (parts[i + 1] if i + 1 < len(parts) else "")
+        inner = bool(out) and bool(regex.fullmatch("[‛“'\"’]", part) and regex.fullmatch(r"\w+[‛“'\"’]\w+", around) or part == "." and regex.fullmatch(r"\d+\.\d+", around))
+        if out and (inner or glued):
+            out[-1] += part
+        else:
+            out.append(part)
+        glued = inner
+    return out
+
+
 TOKEN_DDL = "doc_ref string, field string, term string, kind string, position int, start int, end int, page_no int, row_no int"
 
 
@@ -176,29 +220,34 @@ def token_table(docs: DataFrame, language: Language = PLAIN, fields: tuple[tuple
     ``alternatives`` (map<int, array<string>>) apply to the field Text. Rows are lines of the text.
     """
     own = [c for c in ("page_offsets", "hyphenated", "alternatives") if c in docs.columns]
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
     schema = to_arrow_schema(StructType.fromDDL(TOKEN_DDL))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         analysers = {fold: Analyser(language, fold) for _, _, fold in fields}
+        rows: list[tuple] = []
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), schema.types)], schema=schema)
+
         for batch in batches:
-            for row in batch.to_pylist():
-                rows = []
+            columns = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            for i in range(batch.num_rows):
+                ref = columns["doc_ref"][i].as_py()
                 for name, column, fold in fields:
-                    text = row[column]
+                    text = columns[column][i].as_py()
                     if not text:
                         continue
-                    is_text = name == "Text"
-                    lines = [0] + [i + 1 for i, c in enumerate(text) if c == "\n"]
-                    pages = sorted(set(row.get("page_offsets") or [0])) if is_text else [0]
-                    found = analysers[fold].tokens(text, row.get("hyphenated") or () if is_text else (), dict(row.get("alternatives") or ()) if is_text else None)
+                    told = {c: columns[c][i].as_py() for c in own} if name == "Text" else {}
+                    lines = [0, *(m.end() for m in _NEWLINE.finditer(text))]
+                    pages = sorted(set(told.get("page_offsets") or [0]))
                     position = -1
-                    for t in found:
+                    for t in analysers[fold].tokens(text, told.get("hyphenated") or (), dict(told.get("alternatives") or ())):
                         position += t.increment
-                        rows.append((row["doc_ref"], name, t.term, t.kind, position, t.start, t.end, max(0, bisect_right(pages, t.start) - 1), bisect_right(lines, t.start) - 1))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), schema.types)], schema=schema)
+                        rows.append((ref, name, t.term, t.kind, position, t.start, t.end, max(0, bisect_right(pages, t.start) - 1), bisect_right(lines, t.start) - 1))
+                        if len(rows) >= BATCH_ROWS:
+                            yield out()
+                            rows.clear()
+        if rows:
+            yield out()
 
     return docs.select("doc_ref", *dict.fromkeys(c for _, c, _ in fields), *own).mapInArrow(made, TOKEN_DDL)

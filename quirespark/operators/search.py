@@ -12,7 +12,8 @@ from quirespark.errors import DocumentNotFoundInIndex, IndexFieldNotAggregatable
 from quirespark.functions.text import keyword, terms, token_table, year
 from quirespark.languages import PLAIN, Language
 from quirespark.plans import criteria as c
-from quirespark.plans.match import Index, scores
+from quirespark.plans.match import MOST_CLAUSES, Index, check_clauses, scores
+from quirespark.plans.parser import parse
 
 SORTS = ("Score", "DateAscending", "DateDescending", "DocReference")
 FACETS = ("author", "author_en")
@@ -27,30 +28,68 @@ def with_keywords(docs: DataFrame) -> DataFrame:
 
 
 def plain_postings(docs: DataFrame, fields: tuple[tuple[str, str], ...] = (("Text", "text"),)) -> DataFrame:
-    """Postings by built-in expressions alone: words of letters, marks and digits with their positions, no exchange."""
+    """Postings by built-in expressions alone: words of letters, marks and digits with their positions, no exchange.
+
+    ``dl`` is the length of the document's field, which costs nothing here and is not computed where no one asks for it.
+    """
+    found = None
+    for name, column in fields:
+        cut = docs.select("doc_ref", F.lit(name).alias("field"), terms(F.col(column)).alias("words"))
+        own = cut.select("doc_ref", "field", F.size("words").alias("dl"), F.posexplode("words").alias("position", "term"))
+        found = own if found is None else found.unionByName(own)
+    return found
+
+
+def plain_lengths(docs: DataFrame, fields: tuple[tuple[str, str], ...] = (("Text", "text"),)) -> DataFrame:
+    """Rows ``(field, doc_ref, dl)`` of the documents that have words: the texts' words are counted, not listed."""
     found = None
     for name, column in fields:
-        own = docs.select("doc_ref", F.lit(name).alias("field"), F.posexplode(terms(F.col(column))).alias("position", "term"))
+        own = docs.select(F.lit(name).alias("field"), "doc_ref", F.size(terms(F.col(column))).cast("long").alias("dl")).where("dl > 0")
         found = own if found is None else found.unionByName(own)
     return found
 
 
+def plain_index(docs: DataFrame, fields: tuple[tuple[str, str], ...] = (("Text", "text"),)) -> Index:
+    """An index by built-in expressions alone."""
+    return Index(with_keywords(docs), plain_postings(docs, fields), lengths=plain_lengths(docs, fields))
+
+
 def index_of(docs: DataFrame, language: Language = PLAIN, analyse: bool = True) -> Index:
-    """An index of document rows; with ``analyse`` by the language's patterns and with offsets, else by built-ins alone."""
+    """An index of document rows; with ``analyse`` by the language's patterns and with offsets, else by built-ins alone.
+
+    With ``analyse`` all fields but Text are folded, the query's words for them too.
+    """
     known = [(f.name, f.column, f.name != "Text") for f in catalog.FIELDS.values() if f.tokenized and f.column in docs.columns]
-    rows = token_table(docs, language, tuple(known)) if analyse else plain_postings(docs, tuple((n, col) for n, col, _ in known))
-    return Index(with_keywords(docs), rows, language)
+    if not analyse:
+        return plain_index(docs, tuple((n, col) for n, col, _ in known))
+    return Index(with_keywords(docs), token_table(docs, language, tuple(known)), language, frozenset(n for n, _, fold in known if fold))
+
+
+def contains(criterion: c.Criterion) -> list[c.Contains]:
+    """All query strings of a criterion."""
+    return [criterion] if isinstance(criterion, c.Contains) else [x for part in criterion.parts for x in contains(part)]
 
 
 @dataclass(frozen=True)
 class Engine:
-    """What a caller asks of an index. Everything returns a DataFrame, so a request is one plan."""
+    """What a caller asks of an index. Everything returns a DataFrame, so a request is one plan.
+
+    A query whose prefixes, wildcards, ranges or patterns stand for over ``most_clauses`` words is refused; counting them is
+    a job of its own, of such queries only. Null counts none.
+    """
 
     index: Index
+    most_clauses: int | None = MOST_CLAUSES
+
+    def _scores(self, criterion: c.Criterion) -> DataFrame:
+        if self.most_clauses is not None:
+            for asked in contains(criterion):
+                check_clauses(self.index, parse(asked.query, self.index.language, asked.strict), asked.fields, self.most_clauses)
+        return scores(self.index, criterion)
 
     def search(self, criterion: c.Criterion, sort: str = "Score", first: int = 0, most: int = 10) -> DataFrame:
         """Rows ``(doc_ref, score)``: one page in the order asked for, ties by reference. Other orders than Score have no score."""
-        found = scores(self.index, criterion)
+        found = self._scores(criterion)
         if sort == "Score":
             return found.orderBy(F.desc("score"), F.asc("doc_ref")).offset(first).limit(most)
         return self._sorted(found, sort).select("doc_ref", F.lit(None).cast("double").alias("score")).offset(first).limit(most)
@@ -65,11 +104,11 @@ class Engine:
         return dated.orderBy(order, F.asc("doc_ref"))
 
     def total(self, criterion: c.Criterion) -> DataFrame:
-        return scores(self.index, criterion).agg(F.count("*").alias("total"))
+        return self._scores(criterion).agg(F.count("*").alias("total"))
 
     def refs(self, criterion: c.Criterion, sort: str = "DocReference") -> DataFrame:
         """All matching references, in order."""
-        found = scores(self.index, criterion)
+        found = self._scores(criterion)
         return (found.orderBy(F.desc("score"), F.asc("doc_ref")) if sort == "Score" else self._sorted(found, sort)).select("doc_ref")
 
     def facet(self, criterion: c.Criterion, field: str, most: int | None = None, by_label: bool = False) -> DataFrame:
@@ -78,7 +117,7 @@ class Engine:
         if not f.aggregatable:
             raise IndexFieldNotAggregatable(f"{field} cannot be aggregated")
         own = self.index.docs.where(F.coalesce(F.trim(F.col(f.column)) != "", F.lit(False)))
-        found = own.join(scores(self.index, criterion), "doc_ref", "left_semi").groupBy(F.col(f.column).alias("label")).agg(F.count("*").alias("n"))
+        found = own.join(self._scores(criterion), "doc_ref", "left_semi").groupBy(F.col(f.column).alias("label")).agg(F.count("*").alias("n"))
         found = found.orderBy(F.desc("n"), F.asc("label"))
         found = found if most is None else found.limit(most)
         return found.orderBy("label") if by_label else found

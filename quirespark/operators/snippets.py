@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def islands(hits: DataFrame, rows: DataFrame, padding: int = 2, most: int = 100) -> DataFrame:
+def islands(hits: DataFrame, rows: DataFrame, padding: int = 2, most: int | None = 100) -> DataFrame:
     """Rows ``(doc_ref, page_no, first_row, last_row, start, end, score, tokens)`` in the order of the text.
 
     ``hits``: doc_ref, page_no, row_no, start, end and, where known, last_row. ``rows``: doc_ref, page_no, row_no, start_offset,
-    end_offset.
+    end_offset. The best ``most`` of a document stay, all where it is null.
     """
     marked = hits.withColumn("last_hit", F.coalesce("last_row", "row_no") if "last_row" in hits.columns else F.col("row_no"))
     by_row = marked.groupBy("doc_ref", "page_no", "row_no").agg(F.max("last_hit").alias("reach"), F.count("*").cast("double").alias("score"), F.sort_array(F.collect_set(F.struct("start", "end"))).alias("tokens"))
@@ -27,6 +27,8 @@ def islands(hits: DataFrame, rows: DataFrame, padding: int = 2, most: int = 100)
     )
     shown = rows.join(grouped, ["doc_ref", "page_no"]).where(F.col("row_no").between(F.col("a"), F.col("b")))
     found = shown.groupBy("doc_ref", "page_no", "island", "score", "tokens").agg(F.min("row_no").alias("first_row"), F.max("row_no").alias("last_row"), F.min("start_offset").alias("start"), F.max("end_offset").alias("end"))
+    if most is None:
+        return found.select("doc_ref", "page_no", "first_row", "last_row", "start", "end", "score", "tokens").orderBy("doc_ref", "start")
     best = Window.partitionBy("doc_ref").orderBy(F.desc("score"), "start", F.desc("end"))
     return found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= most).select("doc_ref", "page_no", "first_row", "last_row", "start", "end", "score", "tokens").orderBy("doc_ref", "start")
 

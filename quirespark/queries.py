@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from quirespark.functions import geometry
 from quirespark.functions import text as ft
 from quirespark.operators import corrections, layout, snippets, stats, store
-from quirespark.operators.search import Engine, plain_postings, with_keywords
+from quirespark.operators.search import Engine, plain_index
 from quirespark.plans import criteria as c
 from quirespark.plans import parser as p
-from quirespark.plans.match import Index, matched_tokens, scores
+from quirespark.plans.match import Index, candidates, matched_tokens, scores
 
 Query = Callable[[SparkSession, str], DataFrame]
 _found: dict[str, Query] = {}
@@ -52,8 +52,7 @@ def corpus(spark: SparkSession, d: str) -> DataFrame:
 
 
 def index(spark: SparkSession, d: str, titles: bool = False) -> Index:
-    docs = corpus(spark, d)
-    return Index(with_keywords(docs), plain_postings(docs, (("Text", "text"), ("Title", "title")) if titles else (("Text", "text"),)))
+    return plain_index(corpus(spark, d), (("Text", "text"), ("Title", "title")) if titles else (("Text", "text"),))
 
 
 def engine(spark: SparkSession, d: str, titles: bool = False) -> Engine:
@@ -460,14 +459,16 @@ SELECT e.doc_ref, min(row_no)::INTEGER AS first_row, max(row_no)::INTEGER AS las
 )
 def snippet_rows(spark, d):
     found, lines = _hits(spark, d)
-    return snippets.islands(found, lines, 1, 1000).select("doc_ref", "first_row", "last_row", "start", "end")
+    return snippets.islands(found, lines, 1, None).select("doc_ref", "first_row", "last_row", "start", "end")
 
 
 def _hits(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    docs = corpus(spark, d).select("doc_ref", "text")
+    """The postings of two rare words, and the lines of the documents that have them; only those are analysed."""
+    asked = p.parse("loser moron")
+    docs = candidates(corpus(spark, d).select("doc_ref", "text"), asked)
     own = Index(docs, ft.token_table(docs))
     lines = layout.lines(docs).withColumn("page_no", F.lit(0))
-    return matched_tokens(own, p.parse("loser moron")).select("doc_ref", "page_no", "row_no", "start", "end"), lines
+    return matched_tokens(own, asked).select("doc_ref", "page_no", "row_no", "start", "end"), lines
 
 
 @query()
