@@ -32,6 +32,11 @@ def covered(word: str, by: str) -> Column:
     return F.when(area > 0, overlap(word, by) / area).otherwise(F.lit(0.0))
 
 
+def scaled_to(rect: str, across: Column, down: Column) -> Column:
+    """A rectangle on another scale, each number cut to a whole one."""
+    return rectangle(*((F.col(f"{rect}.{side}") * by).cast("int") for side, by in (("left", across), ("top", down), ("width", across), ("height", down))))
+
+
 def to_grid(value: Column, size: Column) -> Column:
     """Pixels to the page-relative grid, cut to whole numbers."""
     return F.floor(value.cast("long") * GRID / size).cast("int")

@@ -55,6 +55,29 @@ def ignored_suggestions(suggestions: DataFrame, username: str, first_rev: int) -
     return suggestions.where(~hit).unionByName(mine)
 
 
+def corrections_of(corrections: DataFrame, links: DataFrame, refs: DataFrame) -> DataFrame:
+    """All corrections of each document of ``refs`` (doc_ref), the newest first."""
+    met = refs.select("doc_ref").distinct().join(links, "doc_ref").join(corrections, F.col("correction_id") == corrections["id"])
+    return met.select("doc_ref", *corrections.columns).orderBy("doc_ref", F.desc("rev"))
+
+
+def documents_of(links: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents of each correction of ``ids`` (correction_id), by reference."""
+    return links.join(ids.select("correction_id").distinct(), "correction_id").select("correction_id", "doc_ref").orderBy("correction_id", "doc_ref")
+
+
+def sent(corrections: DataFrame, ids: DataFrame) -> DataFrame:
+    """``corrections`` with those of ``ids`` (id) marked as sent."""
+    here = ids.select(F.col("id").alias("__id")).distinct()
+    return corrections.join(here, F.col("id") == F.col("__id"), "left").withColumn("sent", F.col("__id").isNotNull() | F.coalesce("sent", F.lit(False))).drop("__id")
+
+
+def backfilled(indexed: DataFrame, corrections: DataFrame) -> DataFrame:
+    """Rows ``(reference, field, metadata_correction_rev)`` from a table that knew one correction's revision a document."""
+    known = indexed.where("metadata_correction_rev is not null").select("reference", "metadata_correction_rev")
+    return known.join(corrections.select("field", F.col("rev").alias("metadata_correction_rev")), "metadata_correction_rev").select("reference", "field", "metadata_correction_rev")
+
+
 def to_reindex(documents: DataFrame, suggestions: DataFrame, corrections: DataFrame, links: DataFrame, indexed: DataFrame, indexed_corrections: DataFrame) -> DataFrame:
     """The references whose index entry is behind: newer content, suggestion or correction, or marked.
 

@@ -9,6 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirespark.functions.text import templated
+from quirespark.operators.layout import logical_page
+from quirespark.operators.lookup import pages_of_words
+
 
 def islands(hits: DataFrame, rows: DataFrame, padding: int = 2, most: int | None = 100) -> DataFrame:
     """Rows ``(doc_ref, page_no, first_row, last_row, start, end, score, tokens)`` in the order of the text.
@@ -91,14 +95,63 @@ def page_texts(rows: DataFrame) -> DataFrame:
     return each.select("doc_ref", "page_no", "start_offset", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"))
 
 
-def highlighted_pages(rows: DataFrame, hits: DataFrame) -> DataFrame:
-    """``page_texts`` with ``highlights``: page-relative ``[start, end)`` of the hits on each page."""
-    pages = page_texts(rows)
-    own = merged(hits.select("doc_ref", "start", "end", F.lit(1.0).alias("score")))
-    place = rows.groupBy("doc_ref", "page_no").agg(F.min("start_offset").alias("a"), F.max("end_offset").alias("b"))
-    on = own.join(place, "doc_ref").where((F.col("start") >= F.col("a")) & (F.col("start") < F.col("b")))
-    grouped = on.groupBy("doc_ref", "page_no").agg(F.sort_array(F.collect_list(F.struct((F.col("start") - F.col("a")).alias("start"), (F.col("end") - F.col("a")).alias("end")))).alias("highlights"))
-    return pages.join(grouped, ["doc_ref", "page_no"], "left")
+def uncovered(tokens: F.Column) -> F.Column:
+    """Of sorted tokens those that begin at or behind the end of the one kept before: what stands twice is marked once."""
+    none = F.struct(F.lit(-1).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("kept"))
+
+    def add(acc: F.Column, t: F.Column) -> F.Column:
+        more = F.concat(acc["kept"], F.array(F.struct(t["start"].alias("start"), t["end"].alias("end"))))
+        return F.when(t["start"] >= acc["at"], F.struct(t["end"].alias("at"), more.alias("kept"))).otherwise(acc)
+
+    return F.aggregate(tokens, none, add)["kept"]
+
+
+def highlighted_pages(rows: DataFrame, hits: DataFrame, html: bool = False, pre: str = "<b>", post: str = "</b>", division: str = "snippet") -> DataFrame:
+    """``page_texts`` with ``highlights``: page-relative ``[start, end)`` of the hits on each page, cut at line ends.
+
+    Hits know their page, so they meet it by an equality. With ``html`` the text has the hits between tags, lines end in ``<br>``
+    and an empty line begins a new division. ``logical_page`` is the number printed on the page.
+    """
+    on = hits.groupBy("doc_ref", "page_no").agg(uncovered(F.sort_array(F.collect_set(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))))).alias("tokens"))
+    found = page_texts(rows).join(on, ["doc_ref", "page_no"], "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<struct<start:int,end:int>>")))
+    first = F.col("start_offset")
+
+    def cut(t: F.Column) -> F.Column:
+        """The token's pieces on each line it touches, from the page's beginning."""
+        lines = F.split(F.substring(F.col("text"), t["start"] - first + 1, t["end"] - t["start"]), "\n", -1)
+        none = F.struct((t["start"] - first).cast("int").alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+
+        def add(acc: F.Column, line: F.Column) -> F.Column:
+            end = (acc["at"] + F.length(line)).cast("int")
+            piece = F.array(F.struct(acc["at"].alias("start"), end.alias("end")))
+            return F.struct((end + 1).cast("int").alias("at"), F.when(F.length(line) > 0, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
+
+        return F.aggregate(lines, none, add)["out"]
+
+    shown = F.col("text")
+    if html:
+        marked = markup(F.col("text"), F.lit(0), F.length("text"), F.transform("tokens", lambda t: F.struct((t["start"] - first).alias("start"), (t["end"] - first).alias("end"))), pre, post)
+        shown = divisions(marked, division)
+    return found.select("doc_ref", "page_no", "start_offset", shown.alias("text"), F.flatten(F.transform("tokens", cut)).alias("highlights"), logical_page(F.col("text")).alias("logical_page"))
+
+
+def divisions(text: F.Column, division: str = "snippet", newlines: bool = True) -> F.Column:
+    """Text with ``<br>`` in divisions: an empty line begins a new one; without ``newlines`` the lines run on."""
+    opened = f'<div class="{division}">'
+    whole = F.concat(F.lit(opened), F.replace(text, F.lit("<br><br>"), F.lit(f"</div>{opened}")), F.lit("</div>"))
+    return whole if newlines else F.replace(whole, F.lit("<br>"), F.lit(" "))
+
+
+def shown_snippets(found: DataFrame, pages: DataFrame, words: DataFrame, docs: DataFrame, links: list[tuple[str, str]], default: str | None, division: str = "snippet", newlines: bool = True) -> DataFrame:
+    """``found`` (rev, doc_ref, start, snippet, ...) as it is shown: in divisions, with ``page_no`` (-1 if unknown) and ``deep_link``.
+
+    The page is that of the word that begins at the snippet's offset; all snippets meet their words in one join. ``docs`` has
+    doc_ref and collections, by which ``links`` and ``default`` give the address.
+    """
+    place = pages_of_words(pages.select("rev", "page_no"), words, found.select("rev", F.col("start").alias("offset")).distinct()).select("rev", F.col("offset").alias("start"), F.col("page_no").alias("__page"))
+    joined = found.drop("page_no").join(place, ["rev", "start"], "left").join(docs.select("doc_ref", "collections"), "doc_ref", "left")
+    link = F.when(F.col("__page").isNotNull(), templated(F.col("doc_ref"), F.col("__page"), F.col("collections"), links, default))
+    return joined.withColumns({"snippet": divisions(F.col("snippet"), division, newlines), "deep_link": link, "page_no": F.coalesce("__page", F.lit(-1))}).drop("__page", "collections")
 
 
 def text_as_html(pages: DataFrame, docs: DataFrame) -> DataFrame:

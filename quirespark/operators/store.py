@@ -21,8 +21,14 @@ def deleted(table: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     return table.join(gone.select(*keys).distinct(), keys, "left_anti").select(*table.columns)
 
 
-def appended(table: DataFrame, rows: DataFrame, sequence: str, order: str) -> DataFrame:
-    """``rows`` added with the next numbers of ``sequence``, in ``order``; meant for the few rows of one change."""
+#: Rows of one change that are numbered in one window.
+MOST_APPENDED = 100_000
+
+
+def appended(table: DataFrame, rows: DataFrame, sequence: str, order: str, most: int = MOST_APPENDED) -> DataFrame:
+    """``rows`` added with the next numbers of ``sequence``, in ``order``; for the rows of one change, of which ``most`` are allowed."""
+    if rows.limit(most + 1).count() > most:
+        raise ValueError(f"over {most} rows in one change; number a bulk load before it is appended")
     last = table.agg(F.coalesce(F.max(sequence), F.lit(0)).alias("__last"))
     numbered = rows.withColumn("__n", F.row_number().over(Window.orderBy(order))).join(F.broadcast(last)).withColumn(sequence, (F.col("__last") + F.col("__n")).cast("long"))
     return table.unionByName(numbered.select(*table.columns))
@@ -34,11 +40,6 @@ def latest_revisions(documents: DataFrame) -> DataFrame:
     return documents.groupBy("reference").agg(F.max(F.struct("rev", *rest)).alias("d")).select("reference", "d.*").select(*documents.columns)
 
 
-def without_old_revisions(documents: DataFrame) -> DataFrame:
-    """All but the newest revision of each reference are gone."""
-    return latest_revisions(documents)
-
-
 def cascaded(document_revs: DataFrame, pages: DataFrame, rows: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pages, rows and words without those of deleted document revisions."""
     return tuple(t.join(document_revs.select("rev").distinct(), "rev", "left_anti") for t in (pages, rows, words))
@@ -78,6 +79,32 @@ def query_row(spark: SparkSession, username: str, criterion, sort: str, first: i
     return spark.createDataFrame(row, "username string, criteria string, query string, sort string, first_result int, max_result int, result_count long").withColumn("executed", F.current_timestamp())
 
 
+def request_row(spark: SparkSession, username: str, ip: str | None, method_and_url: str, querystring: str | None) -> DataFrame:
+    """A row of the request log."""
+    row = [(username, ip, method_and_url, querystring)]
+    return spark.createDataFrame(row, "username string, ip string, method_and_url string, querystring string").withColumn("created", F.current_timestamp())
+
+
+def with_preferences(preferences: DataFrame, changes: DataFrame) -> DataFrame:
+    """``preferences`` (username, key, preference) with those of ``changes`` added or put in the place of what was."""
+    return upserted(preferences, changes, ["username", "key"])
+
+
+def without_preferences(preferences: DataFrame, gone: DataFrame) -> DataFrame:
+    """``preferences`` without those of ``gone`` (username, key)."""
+    return deleted(preferences, gone, ["username", "key"])
+
+
+def removed(documents: DataFrame, pages: DataFrame, rows: DataFrame, words: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The four tables without the newest revision of each document of ``refs`` (reference); earlier revisions stay.
+
+    The entries of the index go by ``indexing.Segments.upsert`` with the references as what is gone.
+    """
+    here = refs.select("reference").distinct()
+    revs = documents.join(here, "reference", "left_semi").groupBy("reference").agg(F.max("rev").alias("rev")).select("rev")
+    return documents.join(revs, "rev", "left_anti").select(*documents.columns), *cascaded(revs, pages, rows, words)
+
+
 def preference(preferences: DataFrame, username: str, key: str) -> DataFrame:
     return preferences.where((F.col("username") == username) & (F.col("key") == key)).select("preference")
 

@@ -471,18 +471,6 @@ def _hits(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return matched_tokens(own, asked).select("doc_ref", "page_no", "row_no", "start", "end"), lines
 
 
-@query()
-def snippet_markup(spark, d):
-    found, lines = _hits(spark, d)
-    return snippets.snippets(snippets.islands(found, lines, 1, 3), corpus(spark, d)).select("doc_ref", "start", "end", "snippet")
-
-
-@query()
-def highlighted_document(spark, d):
-    found, lines = _hits(spark, d)
-    return snippets.highlighted_pages(lines, found)
-
-
 @query(f"WITH {LINES} SELECT doc_ref, min(row_no)::INTEGER AS first_row, max(row_no)::INTEGER AS last_row, 0 AS start, max(start_offset + length(line))::INTEGER AS \"end\" FROM ln WHERE row_no < 3 GROUP BY 1")
 def snippet_fallback(spark, d):
     return snippets.beginnings(rows(spark, d).withColumn("page_no", F.lit(0)), 3).select("doc_ref", "first_row", "last_row", "start", "end")
@@ -601,11 +589,14 @@ def upserted_index(spark, d):
     return store.upserted(r["indexed"].select("reference", "doc_rev", "reindex"), changes, ["reference"])
 
 
-@query(f"WITH {REVS} SELECT reference, rev, CASE WHEN status = 'Underway' THEN 'Failed' ELSE status END AS status FROM document")
+@query(f"""WITH {REVS} SELECT reference, rev, CASE WHEN status = 'Underway' THEN 'Failed' ELSE status END AS status, '' AS reindex FROM document
+UNION ALL SELECT reference, doc_rev, '', CASE WHEN reference IN (SELECT reference FROM document WHERE status = 'Underway') THEN 'No' ELSE reindex END FROM indexed""")
 def failed_at_start(spark, d):
+    """What was underway has failed, and its document is no longer marked."""
     r = _revisions(spark, d)
-    documents, _ = store.failed_at_start(r["documents"].withColumn("failure_reason", F.lit(None).cast("string")), r["indexed"])
-    return documents.select("reference", "rev", "status")
+    documents, indexed = store.failed_at_start(r["documents"].withColumn("failure_reason", F.lit(None).cast("string")), r["indexed"])
+    none = F.lit("")
+    return documents.select("reference", "rev", "status", none.alias("reindex")).unionByName(indexed.select("reference", F.col("doc_rev").alias("rev"), none.alias("status"), "reindex"))
 
 
 @query(f"WITH {REVS} SELECT reference, CASE WHEN reference IN (SELECT reference FROM document WHERE rev % 100 = 7) THEN 'MetadataOnly' ELSE reindex END AS reindex FROM indexed")
@@ -620,12 +611,17 @@ def deleted_documents(spark, d):
     return store.deleted(r["indexed"], r["suggestions"].where("rev % 10 = 3").select(F.col("doc_ref").alias("reference")), ["reference"]).select("reference", "doc_rev")
 
 
-@query("SELECT conv_id, turn FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations GROUP BY 1 HAVING count(*) >= 4)")
+@query("""WITH k AS (SELECT * FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations GROUP BY 1 HAVING count(*) >= 4))
+SELECT 'page' AS kind, conv_id, (turn // 4)::INTEGER AS page_no, -1 AS row_no, -1 AS word_no FROM k GROUP BY ALL UNION ALL SELECT 'row', conv_id, (turn // 4)::INTEGER, turn::INTEGER, -1 FROM k
+UNION ALL SELECT 'word', conv_id, (turn // 4)::INTEGER, turn::INTEGER, unnest(range(len(string_split(text, ' '))))::INTEGER FROM k""")
 def cascaded_delete(spark, d):
-    """Long conversations go, and their turns with them."""
-    turns = _t(spark, d, "conversations").select(F.col("conv_id").alias("rev"), "turn")
-    pages, *_ = store.cascaded(turns.groupBy("rev").count().where("count >= 4"), turns, turns, turns)
-    return pages.select(F.col("rev").alias("conv_id"), "turn")
+    """Long conversations go, and their pages, rows and words with them."""
+    rows = _turns(spark, d)
+    pages = rows.select("rev", "page_no").distinct()
+    words = rows.select("rev", "page_no", "row_no", F.posexplode(F.split("text", " ", -1)).alias("word_no", "content"))
+    left = store.cascaded(rows.groupBy("rev").count().where("count >= 4"), pages, rows, words)
+    kinds = [t.withColumns({c: F.lit(-1) for c in ("row_no", "word_no") if c not in t.columns} | {"kind": F.lit(k)}).select("kind", F.col("rev").alias("conv_id"), "page_no", "row_no", "word_no") for k, t in zip(("page", "row", "word"), left)]
+    return kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
 
 
 @query("SELECT n_nationkey::BIGINT AS rev, n_name AS reference FROM nation UNION ALL SELECT (SELECT max(n_nationkey) FROM nation) + row_number() OVER (ORDER BY r_name), r_name FROM region")
@@ -644,9 +640,9 @@ def preference_of_user(spark, d):
 
 @query("SELECT o_orderkey, o_orderkey % 2 = 0 AS hard FROM orders")
 def hard_hyphens(spark, d):
-    """Words cut at their hyphen; in every second order the joined word has kept it."""
-    first, second = F.lit("well-"), F.lit("known")
-    joined = F.when(F.col("o_orderkey") % 2 == 0, F.lit("well-known")).otherwise(F.lit("wellknown"))
+    """States and priorities cut at a line's end; in every second order the joined word has kept the hyphen."""
+    first, second = F.concat("o_orderstatus", F.lit("-")), F.col("o_orderpriority")
+    joined = F.when(F.col("o_orderkey") % 2 == 0, F.concat(first, second)).otherwise(F.concat("o_orderstatus", second))
     return _t(spark, d, "orders").select("o_orderkey", ft.hard_hyphen(first, second, joined).alias("hard"))
 
 
@@ -683,8 +679,12 @@ def metadata_round_trip(spark, d):
 
 
 def queries() -> dict[str, Query]:
+    from quirespark import more_queries  # noqa: F401  it registers its own
+
     return dict(_found)
 
 
 def oracle_sql() -> dict[str, str]:
+    from quirespark import more_queries  # noqa: F401
+
     return dict(_sql)

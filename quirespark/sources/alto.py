@@ -79,20 +79,48 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def images(spark: SparkSession, path: str) -> DataFrame:
-    """Rows ``(path, entry, content)`` of the png and jpg entries of zips."""
+    """Rows ``(path, entry, content, error)`` of the png and jpg entries of zips; what cannot be read gives a row with its ``error``."""
+    ddl = "path string, entry string, content binary, error string"
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
+
+    def entries(where: str, data: bytes) -> Iterator[tuple]:
+        try:
+            with zipfile.ZipFile(io.BytesIO(data)) as z:
+                for entry in z.namelist():
+                    if entry.lower().endswith((".png", ".jpg", ".jpeg")):
+                        try:
+                            yield where, entry, z.read(entry), None
+                        except (zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError) as e:
+                            yield where, entry, None, str(e)
+        except zipfile.BadZipFile as e:
+            yield where, None, None, str(e)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for where, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                with zipfile.ZipFile(io.BytesIO(data)) as z:
-                    for entry in z.namelist():
-                        if entry.lower().endswith((".png", ".jpg", ".jpeg")):
-                            yield pa.RecordBatch.from_pydict({"path": [where], "entry": [entry], "content": [z.read(entry)]})
+                for row in entries(where, data):
+                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, schema.types)], schema=schema)
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(made, ddl)
+
+
+def synonym_lines(spark: SparkSession, *paths: str) -> tuple[tuple[str, ...], ...]:
+    """The lines of synonym files, text or the first entry of a zip, for ``Language.with_synonyms``: configuration of bounded size.
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(made, "path string, entry string, content binary")
+    The words of a line stand for each other; ``a, b => c`` makes the left ones stand for the right. Lines with ``#`` are left out.
+    """
+    out: list[tuple[str, ...]] = []
+    for path in paths:
+        for row in spark.read.format("binaryFile").load(path).select("path", "content").orderBy("path").collect():
+            data = first_entry(bytes(row["content"])) if row["path"].lower().endswith(".zip") else bytes(row["content"])
+            for line in data.decode("utf-8").splitlines():
+                words = tuple(dict.fromkeys(w.strip().lower() for w in line.replace("=>", ",").split(",") if w.strip()))
+                if len(words) > 1 and not line.lstrip().startswith("#"):
+                    out.append(words)
+    return tuple(out)
 
 
 def synonyms(spark: SparkSession, path: str) -> DataFrame:
     """Rows ``(word, other)`` of a synonym file: the words of a line stand for each other."""
-    lines = spark.read.text(path).where(~F.col("value").startswith("#")).select(F.transform(F.split("value", ","), lambda x: F.lower(F.trim(x))).alias("w"))
-    return lines.select(F.explode("w").alias("word"), "w").select("word", F.explode("w").alias("other")).where("word <> other").distinct()
+    pairs = [(a, b) for line in synonym_lines(spark, path) for a in line for b in line if a != b]
+    return spark.createDataFrame(pairs, "word string, other string").distinct()

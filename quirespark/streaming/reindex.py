@@ -1,7 +1,8 @@
 """Re-indexing driven by a change log.
 
-The log is a folder of Parquet files with a column ``reference``; each trigger takes what has arrived, and one batch job
-rebuilds the entries of the changed documents and writes the next snapshot of the postings.
+The log is a folder of Parquet files with a column ``doc_ref``; each trigger takes what has arrived, and one batch job builds the
+entries of the changed documents. They become a segment of the index (``operators.indexing``), so a trigger costs what has
+changed, not what the index holds.
 """
 
 from __future__ import annotations
@@ -9,11 +10,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quirespark.functions.text import token_table
 from quirespark.languages import PLAIN, Language
-from quirespark.operators import store
+from quirespark.operators import corrections, store
+from quirespark.operators.indexing import Segments
 
 
 def rebuilt(postings: DataFrame, docs: DataFrame, changed: DataFrame, language: Language = PLAIN) -> DataFrame:
@@ -22,13 +25,53 @@ def rebuilt(postings: DataFrame, docs: DataFrame, changed: DataFrame, language:
     return kept.unionByName(token_table(docs.join(changed.select("doc_ref").distinct(), "doc_ref", "left_semi"), language))
 
 
-def follow(spark: SparkSession, log: str, checkpoint: str, postings: str, docs: Callable[[], DataFrame], language: Language = PLAIN, interval: str | None = "10 seconds") -> StreamingQuery:
-    """Rebuild on every trigger; without an interval take what is there and end."""
+def reindex(index: Segments, docs: DataFrame, changed: DataFrame, made: DataFrame | None = None, links: DataFrame | None = None) -> DataFrame:
+    """Write the entries of ``changed`` (doc_ref) from ``docs``, with their metadata corrected where ``made`` and ``links`` are given.
+
+    Gives rows ``(doc_ref, status)``: Indexed, or Gone for a document that is no longer there, whose entries go. A text that
+    can't be analysed fails the batch as a whole, and the segment stays incomplete, so a next try starts from what was.
+    """
+    wanted = changed.select("doc_ref").distinct()
+    own = docs.join(wanted, "doc_ref", "left_semi")
+    if made is not None and links is not None:
+        own = corrections.overlaid(own, made, links)
+    index.upsert(own, wanted)
+    return wanted.join(own.select("doc_ref", F.lit("Indexed").alias("status")).distinct(), "doc_ref", "left").select("doc_ref", F.coalesce("status", F.lit("Gone")).alias("status"))
+
+
+def reindexed(state: dict[str, DataFrame], done: DataFrame, at) -> DataFrame:
+    """The table ``indexed`` after a re-index of ``done`` (reference): newest revisions noted, no mark left.
+
+    ``state`` has the tables that ``corrections.to_reindex`` takes. A reference that was not there before is added.
+    """
+    indexed = state["indexed"]
+    docs = state["documents"].where("status = 'Complete'").groupBy("reference").agg(F.max("rev").alias("doc_rev"))
+    words = state["suggestions"].groupBy(F.col("doc_ref").alias("reference")).agg(F.max("rev").alias("word_suggestion_rev"))
+    new = done.select("reference").distinct().join(docs, "reference", "left").join(words, "reference", "left")
+    new = new.withColumns({"reindex": F.lit("No"), "index_time": F.lit(at).cast("timestamp")})
+    missing = [c for c in indexed.columns if c not in new.columns]
+    new = new.join(indexed.select("reference", *missing), "reference", "left") if missing else new
+    return store.upserted(indexed, new, ["reference"])
+
+
+def metadata_only(index: Segments, docs: DataFrame, changed: DataFrame) -> None:
+    """Documents whose words have not changed: their postings of the text are taken over as they are, their fields made anew."""
+    spark = docs.sparkSession
+    wanted = changed.select("doc_ref").distinct()
+    now = index.open(spark)
+    columns = [c for c in docs.columns if c != "text"]
+    texts = now.docs.join(wanted, "doc_ref", "left_semi").select("doc_ref", "text")
+    fields = docs.select(*columns).join(wanted, "doc_ref", "left_semi").join(texts, "doc_ref")
+    index.upsert_fields(fields, now.postings.where("field = 'Text'").join(wanted, "doc_ref", "left_semi"))
+
+
+def follow(spark: SparkSession, log: str, checkpoint: str, index: Segments, docs: Callable[[], DataFrame], interval: str | None = "10 seconds") -> StreamingQuery:
+    """Re-index on every trigger; without an interval take what is there and end."""
 
     def batch(changes: DataFrame, number: int) -> None:
         changed = changes.select("doc_ref").distinct()
         if not changed.isEmpty():
-            store.saved(rebuilt(store.current(spark, postings), docs(), changed, language), postings)
+            reindex(index, docs(), changed)
 
     stream = spark.readStream.schema("doc_ref string").parquet(log).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (stream.trigger(processingTime=interval) if interval else stream.trigger(availableNow=True)).start()

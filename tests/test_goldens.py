@@ -261,16 +261,21 @@ def test_usage(spark):
 
 
 def test_snapshots_and_streaming(spark, tmp_path):
+    from quirespark.operators.indexing import Segments
     from quirespark.streaming.reindex import follow
 
     root = "file://" + str(tmp_path)
-    docs = spark.createDataFrame([("a", "one two"), ("b", "three")], "doc_ref string, text string")
-    store.saved(ft.token_table(docs), f"{root}/postings")
-    changed = spark.createDataFrame([("a", "four")], "doc_ref string, text string")
-    spark.createDataFrame([("a",)], "doc_ref string").write.parquet(f"{root}/log")
-    follow(spark, f"{root}/log", f"{root}/cp", f"{root}/postings", lambda: changed, interval=None).awaitTermination()
-    assert sorted(r.term for r in store.current(spark, f"{root}/postings").collect()) == ["four", "three"]
-    assert len(store.snapshots(spark, f"{root}/postings")) == 2
+    docs = spark.createDataFrame([("a", "one two"), ("b", "three"), ("c", "five")], "doc_ref string, text string")
+    store.saved(docs, f"{root}/docs")
+    store.saved(docs.where("doc_ref <> 'c'"), f"{root}/docs")
+    assert len(store.snapshots(spark, f"{root}/docs")) == 2 and store.current(spark, f"{root}/docs").count() == 2
+    index = Segments(f"{root}/index")
+    index.upsert(docs)
+    changed = spark.createDataFrame([("a", "four"), ("b", "three")], "doc_ref string, text string")
+    spark.createDataFrame([("a",), ("c",)], "doc_ref string").write.parquet(f"{root}/log")
+    follow(spark, f"{root}/log", f"{root}/cp", index, lambda: changed, interval=None).awaitTermination()
+    assert sorted(r.term for r in index.open(spark).postings.collect()) == ["four", "three"]
+    assert index.numbers(spark) == [0, 1]
 
 
 def test_layout_files(spark, tmp_path):
