@@ -271,8 +271,8 @@ def _joined(names: pa.Array, flat: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pc.binary_join(taken, pa.scalar(b" ", pa.large_binary()))
 
 
-def _table(dealt: list[list[bytes]], lists: dict[int, tuple[int, bytes]], path: str) -> dict[bytes, tuple[bytes, bytes]]:
-    """Word to its decimal ids and its pieces, each joined by a space.
+def _table(dealt: list[list[bytes]], lists: dict[int, tuple[int, bytes]], path: str) -> tuple[dict[bytes, bytes], dict[bytes, bytes]]:
+    """Word to its decimal ids, and word to its pieces, each joined by a space.
 
     A list that isn't the one its ids were made for (the rows of a scan can come in another order when a task runs again)
     is encoded here.
@@ -294,7 +294,8 @@ def _table(dealt: list[list[bytes]], lists: dict[int, tuple[int, bytes]], path:
     flat, count = np.concatenate(flats), np.concatenate(counts)
     names = piece_table(path)
     decimals = pa.array(np.arange(len(names))).cast(pa.string()).cast(pa.large_binary())
-    return dict(zip((w for words in dealt for w in words), zip(_joined(decimals, flat, count).to_pylist(), _joined(names, flat, count).to_pylist())))
+    words = [w for x in dealt for w in x]
+    return tuple(dict(zip(words, _joined(table, flat, count).to_pylist())) for table in (decimals, names))
 
 
 def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
@@ -315,20 +316,22 @@ def coded(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", b
     schema = arrow_schema(ddl)
 
     def joined(docs_: pa.Table, ids_: pa.Table) -> pa.Table:
+        held = [(keys, [one.split() for one in _texts(sizes, blob)]) for keys, sizes, blob in zip(docs_.column("ids").to_pylist(), docs_.column("sizes").to_pylist(), docs_.column("blob").to_pylist())]
         words: set[bytes] = set()
-        held = list(zip(docs_.column("ids").to_pylist(), docs_.column("sizes").to_pylist(), docs_.column("blob").to_pylist()))
-        for _, sizes, blob in held:
-            for one in _texts(sizes, blob):
-                words.update(one.split())
+        for _, texts in held:
+            words.update(*texts)
         lists = dict(zip(ids_.column("bucket").to_pylist(), zip(ids_.column("crc").to_pylist(), ids_.column("ids").to_pylist())))
-        get = _table(_dealt(words, buckets), lists, path).__getitem__
+        decimal, piece = _table(_dealt(words, buckets), lists, path)
+        # A word that has no ids leaves no space behind.
+        none = {w for w, x in decimal.items() if not x}
         out = []
-        for keys, sizes, blob in held:
+        for keys, texts in held:
             rows = []
-            for one in _texts(sizes, blob):
-                found = [x for x in map(get, one.split()) if x[0]]
-                numbers = b" ".join([x[0] for x in found])
-                decoded = b" ".join([x[1] for x in found])
+            for own in texts:
+                if none and not none.isdisjoint(own):
+                    own = [w for w in own if w not in none]
+                numbers = b" ".join(map(decimal.__getitem__, own))
+                decoded = b" ".join(map(piece.__getitem__, own))
                 if digests:
                     rows.append((numbers.count(b" ") + bool(numbers), hashlib.sha256(numbers).hexdigest(), hashlib.sha256(decoded).hexdigest()))
                 else:

@@ -5,7 +5,9 @@ numbers) reaches the driver, where best-fit decreasing runs over counts: equal s
 whole group. The plan is a table of slots by (length, rank); the pieces get their rank within their length by a sum of
 counts over scan partitions and join the plan on length and rank. No step sorts or gathers the pieces themselves.
 
-Null and empty texts become the end token alone. Repeated rows are packed each. An empty table gives an empty result.
+Null and empty texts become the end token alone; a text of any length is taken whole, in as many pieces as it needs. Repeated
+rows are packed each; which of equal lengths goes where is left to the order of a scan. An empty table gives an empty result.
+Other columns are not read.
 """
 
 from __future__ import annotations

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from quirespark.llm import bpe, queries
+from quirespark.llm import bpe, packing, queries
 from tests.llm.test_operators import D, odd_rows
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -40,13 +40,28 @@ def test_long_texts(spark, tok):
         assert found[i].ids == ids and found[i].decoded == tok.decode(ids, skip_special_tokens=False)
 
 
+def test_long_packing(spark, tok):
+    """A text beyond a batch becomes many pieces of a whole sequence each, and the rest fills up."""
+    text = "some words of a long text " * 400_000
+    rows = [(1, text), (2, None)] + [(i, "few words") for i in range(3, 60)]
+    pieces = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), queries.WORD_BPE).collect()
+    n = len(tok.encode("some words of a long text", add_special_tokens=False).ids) * 400_000 + 1
+    own = sorted((r.piece, r.start, r.length) for r in pieces if r.doc_id == 1)
+    assert [x[2] for x in own] == [4096] * (n // 4096) + [n % 4096] * (n % 4096 > 0) and [x[1] for x in own] == [4096 * i for i in range(len(own))]
+    used = collections.Counter()
+    for r in pieces:
+        used[r.sequence_id] += r.length
+    assert max(used.values()) <= 4096 and len(used) == -(-sum(used.values()) // 4096)
+
+
 def test_other_order(spark, tok):
     """A list whose ids were made for another one, as when a scan's rows come in another order, is encoded anew."""
     dealt = bpe._dealt({b"one", b"two", b"three"}, 2)
-    table = bpe._table(dealt, {0: (1, b""), 1: (2, b"")}, queries.WORD_BPE)
-    for word, (ids, decoded) in table.items():
+    ids, decoded = bpe._table(dealt, {0: (1, b""), 1: (2, b"")}, queries.WORD_BPE)
+    assert set(ids) == set(decoded) == {b"one", b"two", b"three"}
+    for word in ids:
         own = tok.encode(word.decode(), add_special_tokens=False).ids
-        assert ids == b" ".join(b"%d" % i for i in own) and decoded.decode() == tok.decode(own, skip_special_tokens=False)
+        assert ids[word] == b" ".join(b"%d" % i for i in own) and decoded[word].decode() == tok.decode(own, skip_special_tokens=False)
 
 
 def test_clashing_columns(spark):
