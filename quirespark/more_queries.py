@@ -370,3 +370,17 @@ def pages_highlighted(spark, d):
     found, lines = _hits(spark, d)
     each = F.array_join(F.transform("highlights", lambda h: F.concat(h["start"].cast("string"), F.lit("-"), h["end"].cast("string"))), " ")
     return snippets.highlighted_pages(lines, found).select("doc_ref", "page_no", "text", each.alias("highlights"))
+
+
+@query("SELECT 'c' || conv_id AS doc_ref, regexp_replace(string_agg(replace(text, ' the ', '-' || chr(10)), chr(10) ORDER BY turn), '[-־⸗]\n', '', 'g') AS text FROM conversations GROUP BY 1")
+def plain_text_of_words(spark, d):
+    """Pages with line ends inside words, which are joined again."""
+    text = F.replace("text", F.lit(" the "), F.lit("-\n"))
+    pages = _t(spark, d, "conversations").select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("doc_ref"), F.col("turn").alias("page_no"), text.alias("text"))
+    return snippets.plain_text(pages, whole_words=True)
+
+
+@query(f"WITH {TOK} SELECT DISTINCT a.doc_ref FROM tok a JOIN tok b ON b.doc_ref = a.doc_ref AND b.position = a.position + 1 WHERE a.term = 'of' AND b.term = 'src3' UNION SELECT 'd' || doc_id FROM documents WHERE source = 'src3'")
+def match_phrase_fields(spark, d):
+    """A phrase in either of two fields."""
+    return scores(index(spark, d, titles=True), c.Contains(("Text", "Title"), '"of src3"')).select("doc_ref")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirespark.functions.text import templated
+from quirespark.functions.text import dehyphenated, templated
 from quirespark.operators.layout import logical_page
 from quirespark.operators.lookup import pages_of_words
 
@@ -162,6 +162,7 @@ def text_as_html(pages: DataFrame, docs: DataFrame) -> DataFrame:
     return joined.join(docs.select("doc_ref", "title"), "doc_ref").select("doc_ref", F.concat(title, F.array_join(F.transform("l", lambda x: x["part"]), "")).alias("html"))
 
 
-def plain_text(pages: DataFrame) -> DataFrame:
-    """Rows ``(doc_ref, text)``: the pages joined by newlines."""
-    return pages.groupBy("doc_ref").agg(F.sort_array(F.collect_list(F.struct("page_no", "text"))).alias("l")).select("doc_ref", F.array_join(F.transform("l", lambda x: x["text"]), "\n").alias("text"))
+def plain_text(pages: DataFrame, whole_words: bool = False) -> DataFrame:
+    """Rows ``(doc_ref, text)``: the pages joined by newlines; with ``whole_words`` those cut at line ends are joined again."""
+    found = pages.groupBy("doc_ref").agg(F.sort_array(F.collect_list(F.struct("page_no", "text"))).alias("l")).select("doc_ref", F.array_join(F.transform("l", lambda x: x["text"]), "\n").alias("text"))
+    return found.withColumn("text", dehyphenated(F.col("text"))) if whole_words else found

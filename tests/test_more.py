@@ -233,3 +233,20 @@ def test_physical_pages(spark):
     found = spark.createDataFrame([(1, 0, "x"), (1, 20, "?"), (1, 50, "y")], "rev int, start_offset int, text string")
     got = sorted((r.start_offset, r.page_no, r.text) for r in lookup.physical_pages(found, pages).collect())
     assert got == [(0, 3, "x"), (20, -1, "?"), (50, 4, ""), (50, 5, ""), (50, 6, "y")]
+
+
+def test_criteria_trees():
+    """The first query string of a tree, and all of them changed."""
+    tree = c.And(c.ValueIn("Author", ("x",)), c.Or(c.Not(c.Contains(("Title",), "one", True)), c.Contains(("Text",), "two")))
+    assert tree.contains() == c.Contains(("Title",), "one", True) and c.MatchAll().contains() is None
+    changed = tree.replaced(str.upper)
+    assert [x.query for x in search.contains(changed)] == ["ONE", "TWO"] and [x.query for x in search.contains(tree)] == ["one", "two"]
+    assert refs_of(changed) == refs_of(tree)
+
+
+def refs_of(criterion):
+    return [type(x).__name__ for x in (criterion, *criterion.parts)]
+
+
+def test_escaped_brackets():
+    assert p.parse(r"\[a") == p.parse("a") and p.parse(r"a\]") == p.parse("a")
