@@ -36,77 +36,62 @@ from quirespark.llm.common import arrow_schema, dropped, map_rows, slices, text_
 
 LEAST_SENTENCES = 2
 LEAST_WORDS = 20
-#: The end of a sentence with the white space behind it.
-BREAK = re.compile(r"[.!?…。！？]+[\"'”’»)\]]*\s+|\n\s*")
-#: A word with the white space behind it.
-_WORD = re.compile(r"\S+\s*")
-_ENDED = re.compile(r"[.!?…。！？][\"'”’»)\]]*$")
 #: Words of which one at least ends a piece: 50 less 2 of these at the edges leave ``LEAST_WORDS``, in two pieces or more.
 WINDOW = 15
-
-
-class _Ranks(dict):
-    """A word's hash, with white space behind it or not; the memory starts again when it is full."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= 400_000:
-            self.clear()
-        self[word] = rank = crc32(word.rstrip().lower().encode())
-        return rank
-
-
-_ranks = _Ranks()
-
-
-def _cut(text: str, start: int, end: int, ended: bool) -> list[tuple[int, int]]:
-    """The sentence's pieces; its last word has no part in a window if it is known to end a sentence."""
-    words = _WORD.findall(text, start, end)
-    n = len(words) - ended
-    if n < WINDOW:
-        return [(start, end)]
-    ranks = [_ranks[w] for w in words[:n]]
-    cuts, last = [], -1
-    for new in range(WINDOW - 1, n):
-        # The last of equal ones; as long as it stays in the window only the word that came in can replace it.
-        if last <= new - WINDOW:
-            last = min(range(new, new - WINDOW, -1), key=ranks.__getitem__)
-        elif ranks[new] <= ranks[last]:
-            last = new
-        else:
-            continue
-        cuts.append(last + 1)
-    out, at, done = [], start, 0
-    for cut in cuts:
-        stop = at + sum(map(len, words[done:cut]))
-        out.append((at, stop))
-        at, done = stop, cut
-    if at < end:
-        out.append((at, end))
-    return out
+#: A word with the white space behind it, and one that ends a sentence; what such a one has last.
+_WORD = re.compile(r"\S+\s*")
+_ENDED = re.compile(r"[.!?…。！？][\"'”’»)\]]*\Z")
+_LAST = frozenset(".!?…。！？\"'”’»)]")
+
+
+def _cut(text: str) -> tuple[list[int], list[bytes]]:
+    """The number of words up to the end of each sentence, and the lower-cased words."""
+    words: list[str] = []
+    ends = set()
+    for line in text.lower().split("\n"):
+        if words:
+            ends.add(len(words))
+        words += line.split()
+    if not words:
+        return [], []
+    ends.update([i + 1 for i, w in enumerate(words) if w[-1] in _LAST and _ENDED.search(w)])
+    low, n = " ".join(words).encode().split(b" "), len(words)
+    stops = sorted(ends | {n})
+    cuts, first = stops[:], 0
+    for behind in stops:
+        end = behind - (behind in ends)
+        if end - first >= WINDOW:
+            ranks = list(map(crc32, low[first:end]))
+            last = -1
+            for new in range(WINDOW - 1, end - first):
+                # The last of equal ones; as long as it stays in the window only the word that came in can replace it.
+                if last <= new - WINDOW:
+                    window = ranks[new - WINDOW + 1 : new + 1]
+                    window.reverse()
+                    last = new - window.index(min(window))
+                elif ranks[new] <= ranks[last]:
+                    last = new
+                else:
+                    continue
+                cuts.append(first + last + 1)
+        first = behind
+    return sorted(set(cuts)), low
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
     """``[start, end)`` of each sentence with its trailing white space; together they cover the text from its first word on."""
-    at = len(text) - len(text.lstrip())
-    out = []
-    for found in BREAK.finditer(text, at):
-        end = found.end()
-        if end - at > 2 * WINDOW:
-            out += _cut(text, at, end, True)
-        else:
-            out.append((at, end))
-        at = end
-    if at < len(text):
-        out += _cut(text, at, len(text), bool(_ENDED.search(text, at)))
-    return out
+    cuts, _ = _cut(text)
+    ends = [m.end() for m in _WORD.finditer(text)] if cuts else []
+    starts = [len(text) - len(text.lstrip()), *(ends[c - 1] for c in cuts)]
+    return list(zip(starts, starts[1:]))
 
 
 def spans(text: str, least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS) -> tuple[list[tuple[int, int]], bytes]:
     """``(first sentence, the one behind the last)`` of every span, each once, and their hashes of 16 bytes, joined."""
-    words = [text[a:b].lower().split() for a, b in sentences(text)]
-    counts = [len(w) for w in words]
-    joined = [" ".join(w).encode() for w in words]
-    n = len(words)
+    cuts, low = _cut(text)
+    bounds = [0, *cuts]
+    counts = [b - a for a, b in zip(bounds, cuts)]
+    n = len(cuts)
     found = set()
     total, end = 0, 0
     for start in range(n):
@@ -128,7 +113,7 @@ def spans(text: str, least_sentences: int = LEAST_SENTENCES, least_words: int =
         total -= counts[end - 1]
     digest = xxhash.xxh3_128_digest
     ordered = sorted(found)
-    return ordered, b"".join([digest(b" ".join(joined[a:b])) for a, b in ordered])
+    return ordered, b"".join([digest(b" ".join(low[bounds[a] : bounds[b]])) for a, b in ordered])
 
 
 def occurrences(docs: DataFrame, key: str, text: str, least_sentences: int, least_words: int) -> DataFrame:

@@ -127,11 +127,9 @@ def brute_cut(text, window=15):
         word = text[a:b].rstrip()
         if re.search("[.!?…。！？][\"'”’»)\\]]*$", word) or "\n" in text[a + len(word) : b]:
             ends.add(i)
-    stops = {i for i in ends if text[words[i][0] : words[i][1]] != text[words[i][0] : words[i][1]].rstrip() or i == len(words) - 1}
-    sentence_end = {i for i in stops if re.search("[.!?…。！？][\"'”’»)\\]]*$", text[words[i][0] : words[i][1]].rstrip()) or i < len(words) - 1}
-    cuts = set(stops)
+    cuts = set(ends)
     for i in range(len(words) - window + 1):
-        if not any(j in sentence_end for j in range(i, i + window)):
+        if not any(j in ends for j in range(i, i + window)):
             ranks = [zlib.crc32(text[words[j][0] : words[j][1]].rstrip().lower().encode()) for j in range(i, i + window)]
             cuts.add(i + max(j for j in range(window) if ranks[j] == min(ranks)))
     out, start = [], 0
