@@ -6,12 +6,13 @@ kept from falling below zero, and where it does the step goes the other way. The
 and of beginnings of words, chosen by how much likelier they are in positives than in the unlabelled text less its toxic
 share; it is trained in numpy by full-batch Adam.
 
-Bounds, all parameters: ``most_positive`` and about ``most_unlabelled`` documents train the scorer, chosen by a hash of
-their id; ``most_features`` features are kept. Every document is scored, over its whole text.
+Bounds, all parameters: at most ``most_positive`` documents and about ``most_unlabelled`` train the scorer, chosen by a hash of
+their id, of their id and text; ``most_features`` features are kept. A repeated row, or a repeated id of a positive, trains once.
+Every document is scored, over its whole text, however long.
 
 Null and empty texts have no features and get the score of the bias. Without positives or unlabelled text every score is 0.
-Label rows with null ids or labels are not used; of repeated label rows the largest label counts. Repeated documents each
-get their row.
+Label rows with null ids or labels are not used; of repeated label rows the largest label counts; features of equal worth go by
+name. Repeated documents each get their row; an empty table gives none. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -71,26 +72,53 @@ def fold(key: Column) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % 3
 
 
+@dataclass(frozen=True)
+class Sample:
+    """Documents as lists of feature numbers, joined: ``feature`` by ``owner``; ``positive`` marks the confirmed ones."""
+
+    owner: np.ndarray
+    feature: np.ndarray
+    positive: np.ndarray
+    n_features: int
+
+    @classmethod
+    def of(cls, rows: list[np.ndarray], positive: np.ndarray, n_features: int) -> Sample:
+        sizes = np.array([len(r) for r in rows])
+        feature = np.concatenate(rows).astype(np.int64) if sizes.sum() else np.empty(0, np.int64)
+        return cls(np.repeat(np.arange(len(rows)), sizes), feature, positive, n_features)
+
+
+def risk(sample: Sample, w: np.ndarray, b: float, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """The parts of the risk, ``p E_P[l(g)]`` and ``E_U[l(-g)] - p E_P[l(-g)]``, and the slope of each by (weights, bias).
+
+    The loss of a score g against label 1 is softplus(-g), against -1 softplus(g).
+    """
+    p, u = sample.positive, ~sample.positive
+    g = np.bincount(sample.owner, w[sample.feature], len(p)) + b
+    s = 1 / (1 + np.exp(-np.clip(g, -60, 60)))
+    up, down = np.logaddexp(0, g), np.logaddexp(0, -g)
+    first, second = prior * down[p].mean(), up[u].mean() - prior * up[p].mean()
+    slopes = []
+    for at_p, at_u in ((prior * (s - 1), None), (-prior * s, s)):
+        slope = np.zeros(len(p))
+        slope[p] = at_p[p] / p.sum()
+        if at_u is not None:
+            slope[u] = at_u[u] / u.sum()
+        slopes.append(np.append(np.bincount(sample.feature, slope[sample.owner], sample.n_features), slope.sum()))
+    return float(first), float(second), slopes[0], slopes[1]
+
+
 def nnpu(rows: list[np.ndarray], positive: np.ndarray, n_features: int, prior: float, rounds: int = 400, rate: float = 0.05, decay: float = 1e-4, beta: float = 0.0) -> tuple[np.ndarray, float]:
-    """Weights and bias that make the non-negative risk small. ``rows`` has each document's features by number."""
-    sizes = np.array([len(r) for r in rows])
-    owner = np.repeat(np.arange(len(rows)), sizes)
-    feature = np.concatenate(rows).astype(np.int64) if sizes.sum() else np.empty(0, np.int64)
-    p, u = positive, ~positive
+    """Weights and bias that make the non-negative risk small. ``rows`` has each document's features by number.
+
+    Where the second part falls below ``-beta`` the step goes against it, so that it does not stay negative.
+    """
+    sample = Sample.of(rows, positive, n_features)
     w, b = np.zeros(n_features), -1.0
     m, v = np.zeros(n_features + 1), np.zeros(n_features + 1)
     for t in range(1, rounds + 1):
-        g = np.bincount(owner, w[feature], len(rows)) + b
-        s = 1 / (1 + np.exp(-np.clip(g, -60, 60)))
-        # softplus(g) is the loss of g against label -1; its slope is s. Against label 1 the slope is s - 1.
-        loss = np.logaddexp(0, g)
-        negative = loss[u].mean() - prior * loss[p].mean()
-        slope = np.zeros(len(rows))
-        if negative < -beta:
-            slope[u], slope[p] = -s[u] / u.sum(), prior * s[p] / p.sum()
-        else:
-            slope[u], slope[p] = s[u] / u.sum(), -prior * s[p] / p.sum() + prior * (s[p] - 1) / p.sum()
-        grad = np.append(np.bincount(feature, slope[owner], n_features) + decay * w, slope.sum())
+        _, second, rise, fall = risk(sample, w, b, prior)
+        grad = (rise + fall if second >= -beta else -fall) + np.append(decay * w, 0.0)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
@@ -129,16 +157,19 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     if not told["p"] or not total:
         return Model({}, -60.0)
     prior = min(0.9, max(told["p"], 1) / told["n"])
-    # At most ``most_positive`` ids, so the broadcast has a bound.
+    # At most ``most_positive`` ids, so the broadcast has a bound; one row of each, so the sample has it too.
     ids = usable.where("label = 1").orderBy(F.xxhash64(key), key).limit(most_positive).select(F.col(key).alias("__quire_id"))
-    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).where(fold(F.col("id")) != 1)
-    positives = rows.join(F.broadcast(ids), rows["id"] == ids["__quire_id"], "left_semi").select(F.lit(True).alias("positive"), "text")
+    rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).where(F.coalesce(fold(F.col("id")) != 1, F.lit(True)))
+    named = rows.join(F.broadcast(ids), rows["id"] == ids["__quire_id"], "left_semi").groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    positives = named.select(F.lit(True).alias("positive"), "text")
     share = min(1.0, 1.5 * most_unlabelled / total)
-    unlabelled = rows.where(F.pmod(F.xxhash64("id", F.lit("unlabelled")), F.lit(1 << 30)) < int(share * (1 << 30))).select(F.lit(False).alias("positive"), "text")
+    drawn = rows.where(F.pmod(F.xxhash64("id", "text", F.lit("unlabelled")), F.lit(1 << 30)) < int(share * (1 << 30))).dropDuplicates(["id", "text"])
+    unlabelled = drawn.select(F.lit(False).alias("positive"), "text")
     # Counting first leaves only features with enough positives; both tables are of the bounded sample.
     marked = _marked(positives.unionAll(unlabelled), "text").cache()
     sizes = {r["positive"]: r["n"] for r in marked.groupBy("positive").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(True) or not sizes.get(False):
+        marked.unpersist()
         return Model({}, -60.0)
     each = marked.select("positive", F.explode("features").alias("f")).groupBy("f").agg(F.sum(F.col("positive").cast("int")).alias("p"), F.sum((~F.col("positive")).cast("int")).alias("u"))
     spread = F.col("p") / sizes[True] - F.col("u") / sizes[False] * 1.0
@@ -163,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 
 def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Per row: key, ``held_out``, ``score`` and ``predicted`` (1 from ``threshold`` on)."""
+    """Per row: key, ``held_out`` (false for a null key), ``score`` and ``predicted`` (1 from ``threshold`` on)."""
     ddl = f"{key} {docs.schema[key].dataType.simpleString()}, held_out boolean, score double, predicted int"
     schema = arrow_schema(ddl)
 
@@ -172,4 +203,4 @@ def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
             score = model.scores([x or "" for x in batch.column(2).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32))], schema=schema)
 
-    return map_rows(docs.select(key, (fold(F.col(key)) == 1).alias("held_out"), F.col(text).cast("string").alias("text")), ddl, made)
+    return map_rows(docs.select(key, F.coalesce(fold(F.col(key)) == 1, F.lit(False)).alias("held_out"), F.col(text).cast("string").alias("text")), ddl, made)

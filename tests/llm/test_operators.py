@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -118,6 +119,50 @@ def test_best_fit_over_counts():
             assert own[0][0] == 0 and own[-1][1] == k and all(x[1] == y[0] for x, y in itertools.pairwise(own))
 
 
+def test_risk():
+    """The parts of the risk by their definition, document by document, and their slopes by differences."""
+    r = random.Random(8)
+    docs_ = [r.sample(range(6), r.randrange(0, 5)) for _ in range(30)]
+    positive = np.array([i < 8 for i in range(30)])
+    sample = toxicity.Sample.of([np.array(d, np.int64) for d in docs_], positive, 6)
+    loss = lambda g, label: math.log1p(math.exp(-label * g))
+    for _ in range(5):
+        w, b, prior = np.array([r.gauss(0, 1) for _ in range(6)]), r.gauss(0, 1), r.uniform(0.05, 0.6)
+
+        def parts(w, b):
+            g = [sum(w[f] for f in d) + b for d in docs_]
+            mean = lambda label, which: sum(loss(x, label) for x, p in zip(g, positive) if p == which) / sum(positive == which)
+            return prior * mean(1, True), mean(-1, False) - prior * mean(-1, True)
+
+        first, second, rise, fall = toxicity.risk(sample, w, b, prior)
+        assert (first, second) == pytest.approx(parts(w, b))
+        for i in range(7):
+            step = np.zeros(7)
+            step[i] = 1e-6
+            ahead, back = parts(w + step[:6], b + step[6]), parts(w - step[:6], b - step[6])
+            assert rise[i] == pytest.approx((ahead[0] - back[0]) / 2e-6, abs=1e-6) and fall[i] == pytest.approx((ahead[1] - back[1]) / 2e-6, abs=1e-6)
+
+
+def test_toxicity_bounds(spark):
+    """One positive id in a thousand rows, one text in half the table: the sample keeps its bounds."""
+    rows = [(1, f"vile thing {i}") for i in range(1000)] + [(i, "the same text") for i in range(2, 1500)] + [(i, f"other words {i}") for i in range(1500, 3000)] + [(5, "the same text")] * 2000
+    labels = [(i, int(i < 60)) for i in range(1, 400)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    model = toxicity.nnpu
+
+    def spied(sample, positive, *others):
+        seen.append((int(positive.sum()), int((~positive).sum())))
+        return model(sample, positive, *others, rounds=3)
+
+    toxicity.nnpu, before = spied, toxicity.nnpu
+    try:
+        toxicity.fit(table, spark.createDataFrame(labels, "doc_id long, toxic int"), most_positive=20, most_unlabelled=300)
+    finally:
+        toxicity.nnpu = before
+    assert all(p <= 20 and u <= 900 for p, u in seen) and seen
+
+
 def test_toxicity(spark):
     r = random.Random(4)
     plain = ["alpha", "beta", "gamma", "delta", "omega", "sigma", "theta", "kappa"]
@@ -374,20 +419,3 @@ def test_similar_recall(spark):
     near = [(a, b) for (a, s), (b, t) in itertools.combinations(sets, 2) if s and len(s & t) >= 0.8 * len(s | t)]
     classes = {x.node: x.root for x in simhash.similar_classes(spark.createDataFrame([(x.text,) for x in rows], "text string")).collect()}
     assert sum(a in classes and classes[a] == classes.get(b) for a, b in near) >= 0.95 * len(near)
-
-
-def test_pipeline(spark):
-    import corpus_pipeline as cp
-
-    docs = spark.read.parquet(f"{D}/documents.parquet")
-    columns, ids = docs.columns, None
-    for name, stage in cp.STAGES[:-1]:
-        docs = stage(spark, docs, D)
-        assert docs.columns == columns, name
-        now = {r.doc_id for r in docs.select("doc_id").collect()}
-        assert ids is None or now <= ids
-        ids = now
-        docs, _ = cp.written(docs, name)
-    pieces = cp.STAGES[-1][1](spark, docs, D)
-    assert {r.doc_id for r in pieces.collect()} == ids
-    assert cp.run(spark, D).count() == pieces.count()
