@@ -65,6 +65,32 @@ def metadata_only(index: Segments, docs: DataFrame, changed: DataFrame) -> None:
     index.upsert_fields(fields, now.postings.where("field = 'Text'").join(wanted, "doc_ref", "left_semi"))
 
 
+def where_required(index: Segments, docs: DataFrame, state: dict[str, DataFrame], at) -> tuple[DataFrame, DataFrame]:
+    """Index all that ``corrections.to_reindex`` names, and give the tables ``indexed`` and ``indexed_corrections`` as they are then.
+
+    ``state`` has the tables that it takes. Documents with new words are analysed, the others keep their postings of the text and
+    get their fields anew; two segments at most, whatever the number of documents.
+    """
+    spark = docs.sparkSession
+    changed = corrections.to_reindex(**state).join(corrections.content_updated(state["documents"], state["suggestions"], state["indexed"]), "reference").select(F.col("reference").alias("doc_ref"), "updated")
+    words, fields = changed.where("updated").select("doc_ref"), changed.where("not updated").select("doc_ref")
+    if not words.isEmpty():
+        reindex(index, docs, words, state["corrections"], state["links"])
+    if index.numbers(spark) and not fields.isEmpty():
+        metadata_only(index, corrections.overlaid(docs, state["corrections"], state["links"]), fields)
+    done = changed.select(F.col("doc_ref").alias("reference"))
+    met = state["corrections"].join(state["links"], state["corrections"]["id"] == state["links"]["correction_id"])
+    noted = met.groupBy(F.col("doc_ref").alias("reference"), "field").agg(F.max("rev").alias("metadata_correction_rev")).join(done, "reference", "left_semi")
+    return reindexed(state, done, at), store.upserted(state["indexed_corrections"], noted, ["reference", "field"])
+
+
+def failed(state: dict[str, DataFrame], refs: DataFrame, reason: str) -> tuple[DataFrame, DataFrame]:
+    """``documents`` and ``indexed`` after a re-index of ``refs`` (reference) has failed: the newest revisions say why, no mark is left."""
+    here = refs.select("reference").distinct()
+    revs = state["documents"].join(here, "reference", "left_semi").groupBy("reference").agg(F.max("rev").alias("rev"))
+    return store.with_status(state["documents"], revs.select("rev"), "Failed", reason), store.marked(state["indexed"], here, "No")
+
+
 def follow(spark: SparkSession, log: str, checkpoint: str, index: Segments, docs: Callable[[], DataFrame], interval: str | None = "10 seconds") -> StreamingQuery:
     """Re-index on every trigger; without an interval take what is there and end."""
 

@@ -72,7 +72,7 @@ def test_boosts_and_ranges(docs):
     assert boosted == pytest.approx({k: 3 * v for k, v in plain.items()})
     assert score("two^2 cat")["b"] == pytest.approx(2 * plain["b"]) and score("((two)^2)^2")["b"] == pytest.approx(4 * plain["b"])
     assert asked(docs, "[sat TO two]") == ["b", "d", "e"] and asked(docs, "{sat TO two}") == ["b", "d"] and asked(docs, "[* TO b]") == ["a", "c"]
-    assert asked(docs, "{sat TO *]") == ["b", "e"]
+    assert asked(docs, "{sat TO *]") == ["b", "d", "e"]
     for bad in ("[a", "a TO b]", "[a b]"):
         with pytest.raises(UnparsableQuery):
             p.parse(bad)
@@ -250,3 +250,31 @@ def refs_of(criterion):
 
 def test_escaped_brackets():
     assert p.parse(r"\[a") == p.parse("a") and p.parse(r"a\]") == p.parse("a")
+
+
+def test_where_required(spark, docs, tmp_path):
+    """A new revision is analysed, a correction changes the fields alone, the rest is left; what was done is noted and not done again."""
+    index = Segments(f"file://{tmp_path}/w")
+    index.upsert(docs)
+    state = {
+        "documents": spark.createDataFrame([("a", 1, "Complete", None), ("a", 7, "Complete", None), ("b", 2, "Complete", None), ("c", 3, "Complete", None)], "reference string, rev long, status string, failure_reason string"),
+        "suggestions": spark.createDataFrame([], "doc_ref string, rev long"),
+        "corrections": spark.createDataFrame([(1, "Title", "Put right", False, 9)], "id long, field string, new_value string, ignore boolean, rev long"),
+        "links": spark.createDataFrame([(1, "b")], "correction_id long, doc_ref string"),
+        "indexed": spark.createDataFrame([("a", 1, None, "No"), ("b", 2, None, "No"), ("c", 3, None, "No")], "reference string, doc_rev long, word_suggestion_rev long, reindex string").withColumn("index_time", F.lit(None).cast("timestamp")),
+        "indexed_corrections": spark.createDataFrame([], "reference string, field string, metadata_correction_rev long"),
+    }
+    newer = docs.withColumn("text", F.when(F.col("doc_ref") == "a", "brand new words").otherwise("must not be read"))
+    indexed, noted = reindex.where_required(index, newer, state, "2024-01-01 00:00:00")
+    held = index.open(spark)
+    assert refs(scores(held, c.Contains(("Text",), "brand"))) == ["a"] and refs(scores(held, c.Contains(("Text",), "must"))) == []
+    assert refs(scores(held, c.Contains(("Title",), '"put right"'))) == ["b"] and refs(scores(held, c.Contains(("Text",), "three"))) == ["b"]
+    assert sorted((r.reference, r.doc_rev, r.index_time is not None) for r in indexed.collect()) == [("a", 7, True), ("b", 2, True), ("c", 3, False)]
+    assert [tuple(r) for r in noted.collect()] == [("b", "Title", 9)]
+    after = state | {"indexed": indexed, "indexed_corrections": noted}
+    from quirespark.operators import corrections
+
+    assert corrections.to_reindex(**after).count() == 0
+    documents, left = reindex.failed(state | {"indexed": indexed.withColumn("reindex", F.lit("Yes"))}, spark.createDataFrame([("a",)], "reference string"), "broken")
+    assert {(r.reference, r.rev): (r.status, r.failure_reason) for r in documents.collect()}[("a", 7)] == ("Failed", "broken") and documents.where("status = 'Failed'").count() == 1
+    assert {r.reference: r.reindex for r in left.collect()} == {"a": "No", "b": "Yes", "c": "Yes"}
