@@ -35,9 +35,10 @@ def plain_postings(docs: DataFrame, fields: tuple[tuple[str, str], ...] = (("Tex
     found = None
     for name, column in fields:
         cut = docs.select("doc_ref", F.lit(name).alias("field"), terms(F.col(column)).alias("words"))
-        own = cut.select("doc_ref", "field", F.size("words").alias("dl"), F.posexplode("words").alias("position", "term"))
+        # The outer form: for the inner one Spark asks first whether there are any words, and cuts the text twice.
+        own = cut.select("doc_ref", "field", F.size("words").alias("dl"), F.posexplode_outer("words").alias("position", "term"))
         found = own if found is None else found.unionByName(own)
-    return found
+    return found.where("position is not null")
 
 
 def plain_lengths(docs: DataFrame, fields: tuple[tuple[str, str], ...] = (("Text", "text"),)) -> DataFrame:
@@ -49,9 +50,19 @@ def plain_lengths(docs: DataFrame, fields: tuple[tuple[str, str], ...] = (("Text
     return found
 
 
+def plain_corpus(docs: DataFrame, fields: tuple[tuple[str, str], ...] = (("Text", "text"),)) -> DataFrame:
+    """Rows ``(field, n_docs, avg_dl)`` over the documents that have words, each text cut once."""
+    found = None
+    for name, column in fields:
+        own = docs.select(F.lit(name).alias("field"), F.size(terms(F.col(column))).alias("dl"))
+        found = own if found is None else found.unionByName(own)
+    some = F.when(F.col("dl") > 0, F.col("dl"))
+    return found.groupBy("field").agg(F.count(some).alias("n_docs"), F.avg(some).alias("avg_dl"))
+
+
 def plain_index(docs: DataFrame, fields: tuple[tuple[str, str], ...] = (("Text", "text"),)) -> Index:
     """An index by built-in expressions alone."""
-    return Index(with_keywords(docs), plain_postings(docs, fields), lengths=plain_lengths(docs, fields))
+    return Index(with_keywords(docs), plain_postings(docs, fields), lengths=plain_lengths(docs, fields), corpus=plain_corpus(docs, fields))
 
 
 def index_of(docs: DataFrame, language: Language = PLAIN, analyse: bool = True) -> Index:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirespark.functions.text import dehyphenated, templated
-from quirespark.operators.layout import logical_page
+from quirespark.operators.layout import as_of, logical_page
 from quirespark.operators.lookup import pages_of_words
 
 
@@ -84,9 +84,22 @@ def markup(text: F.Column, start: F.Column, end: F.Column, tokens: F.Column, pre
 
 
 def snippets(found: DataFrame, docs: DataFrame, pre: str = "<b>", post: str = "</b>", offsets: bool = False) -> DataFrame:
-    """``found`` (of :func:`islands`) with its ``snippet``."""
+    """``found`` (of :func:`islands`) with its ``snippet``; tokens that touch or overlap are marked as one."""
     joined = found.join(docs.select("doc_ref", F.col("text").alias("__text")), "doc_ref")
-    return joined.withColumn("snippet", markup(F.col("__text"), F.col("start"), F.col("end"), F.col("tokens"), pre, post, offsets)).drop("__text")
+    return joined.withColumn("snippet", markup(F.col("__text"), F.col("start"), F.col("end"), touching(F.col("tokens")), pre, post, offsets)).drop("__text")
+
+
+def touching(tokens: F.Column) -> F.Column:
+    """Sorted tokens with those that touch or overlap joined."""
+    none = F.array().cast("array<struct<start:int,end:int>>")
+
+    def add(acc: F.Column, t: F.Column) -> F.Column:
+        last = F.get(acc, F.size(acc) - 1)
+        new = F.array(F.struct(t["start"].cast("int").alias("start"), t["end"].cast("int").alias("end")))
+        longer = F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], t["end"].cast("int")).alias("end")))
+        return F.when((F.size(acc) > 0) & (last["end"] >= t["start"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), longer)).otherwise(F.concat(acc, new))
+
+    return F.aggregate(tokens, none, add)
 
 
 def page_texts(rows: DataFrame) -> DataFrame:
@@ -109,9 +122,12 @@ def uncovered(tokens: F.Column) -> F.Column:
 def highlighted_pages(rows: DataFrame, hits: DataFrame, html: bool = False, pre: str = "<b>", post: str = "</b>", division: str = "snippet") -> DataFrame:
     """``page_texts`` with ``highlights``: page-relative ``[start, end)`` of the hits on each page, cut at line ends.
 
-    Hits know their page, so they meet it by an equality. With ``html`` the text has the hits between tags, lines end in ``<br>``
+    Hits that know their page meet it by an equality; others get the last page that begins at or before them. With ``html`` the text has the hits between tags, lines end in ``<br>``
     and an empty line begins a new division. ``logical_page`` is the number printed on the page.
     """
+    if "page_no" not in hits.columns:
+        begun = rows.groupBy("doc_ref", "page_no").agg(F.min("start_offset").alias("begun"))
+        hits = as_of(hits, begun, ["doc_ref"], "start", "begun", "page_no").where("page_no is not null")
     on = hits.groupBy("doc_ref", "page_no").agg(uncovered(F.sort_array(F.collect_set(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))))).alias("tokens"))
     found = page_texts(rows).join(on, ["doc_ref", "page_no"], "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<struct<start:int,end:int>>")))
     first = F.col("start_offset")

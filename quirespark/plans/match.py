@@ -190,10 +190,12 @@ def _hits(index: Index, asks: list[tuple[p.Node, tuple[str, ...]]]) -> DataFrame
             tags.append(F.when(condition, F.struct(F.lit(number).alias("leaf"), F.lit(part).alias("part"), word.alias("term"))))
     own = index.postings.where(functools.reduce(operator.or_, conditions))
     each = own.withColumn("tag", F.explode(F.filter(F.array(*tags), lambda x: x.isNotNull())))
-    hit = F.struct("position", "tag.leaf", "tag.part", "tag.term")
-    length = [F.max("dl").cast("long").alias("dl")] if "dl" in own.columns else []
-    found = each.groupBy("doc_ref", "field").agg(F.collect_list(hit).alias("hits"), *length)
-    return found if length else found.join(index.doc_stats(), ["doc_ref", "field"])
+    # The length stands in each hit: as a column of its own it would be pruned from one of the two uses of this exchange, and
+    # the postings would be made twice.
+    known = "dl" in own.columns
+    hit = F.struct("position", "tag.leaf", "tag.part", "tag.term", *(["dl"] if known else []))
+    found = each.groupBy("doc_ref", "field").agg(F.collect_list(hit).alias("hits"))
+    return found.withColumn("dl", F.get("hits", F.lit(0))["dl"].cast("long")) if known else found.join(index.doc_stats(), ["doc_ref", "field"])
 
 
 def _leaf_stats(index: Index, asks: list[tuple[p.Node, tuple[str, ...]]], hits: DataFrame) -> DataFrame:
@@ -234,8 +236,10 @@ def leaf_scores(index: Index, leaves: list[p.Node], fields: tuple[str, ...]) ->
             score = F.lit(1.0)
         else:
             score = F.col("idf")[i] * tf / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
-        sums.append(F.sum(F.when(F.coalesce(tf, F.lit(0)) > 0, score * float(leaf.boost))).alias(f"s{i}"))
-    return scored.groupBy("doc_ref").agg(*sums)
+        sums.append(F.when(F.coalesce(tf, F.lit(0)) > 0, score * float(leaf.boost)))
+    if len({f for _, named in asks for f in named}) == 1:  # a row a document already
+        return scored.select("doc_ref", *[x.alias(f"s{i}") for i, x in enumerate(sums)])
+    return scored.groupBy("doc_ref").agg(*[F.sum(x).alias(f"s{i}") for i, x in enumerate(sums)])
 
 
 def _constant(found: DataFrame) -> DataFrame:

@@ -140,11 +140,11 @@ def test_snippets(engine):
 
 
 def test_highlighted_pages(spark):
-    """Highlights count from their page's start; those that touch are one, and a page without any has none."""
+    """Highlights count from their page's start; those that touch stay two on a page (in a snippet they are one), and a page without any has none."""
     rows = spark.createDataFrame([("d", 0, 0, "one two", 0, 7), ("d", 0, 1, "three", 8, 13), ("d", 1, 2, "four five", 14, 23), ("d", 2, 3, "six", 24, 27)], "doc_ref string, page_no int, row_no int, line string, start_offset int, end_offset int")
     hits = spark.createDataFrame([("d", 4, 7), ("d", 14, 18), ("d", 18, 23), ("d", 8, 13)], "doc_ref string, start int, end int")
     found = {r.page_no: (r.text, [(h["start"], h["end"]) for h in r.highlights or ()]) for r in snippets.highlighted_pages(rows, hits).collect()}
-    assert found == {0: ("one two\nthree", [(4, 7), (8, 13)]), 1: ("four five", [(0, 9)]), 2: ("six", [])}
+    assert found == {0: ("one two\nthree", [(4, 7), (8, 13)]), 1: ("four five", [(0, 4), (4, 9)]), 2: ("six", [])}
 
 
 def test_layout_values(spark):

@@ -188,6 +188,13 @@ def test_highlighted_pages(spark):
     assert marked.text == '<div class="snippet">12</div><div class="snippet">Is the <b>c-</b><br><b>at</b> <b>happy</b>?</div>'
 
 
+def test_touching_tokens(spark):
+    """In a snippet, tokens that touch or overlap are marked as one."""
+    found = spark.createDataFrame([("d", 0, 11, [(0, 3), (3, 5), (4, 7), (8, 11)])], "doc_ref string, start int, end int, tokens array<struct<start:int,end:int>>")
+    docs = spark.createDataFrame([("d", "abcdefg hij")], "doc_ref string, text string")
+    assert snippets.snippets(found, docs).first().snippet == "<b>abcdefg</b> <b>hij</b>"
+
+
 def test_best_snippets(spark):
     """The best two of three snippets, in the order of the text."""
     rows = spark.createDataFrame([("d", 0, i, 10 * i, 10 * i + 9) for i in range(20)], "doc_ref string, page_no int, row_no int, start_offset int, end_offset int")
