@@ -89,23 +89,24 @@ class Sample:
 
 
 def risk(sample: Sample, w: np.ndarray, b: float, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
-    """The parts of the risk, ``p E_P[l(g)]`` and ``E_U[l(-g)] - p E_P[l(-g)]``, and the slope of each by (weights, bias).
+    """The parts of the risk, ``p E_P[l(g)]`` and ``E_U[l(-g)] - p E_P[l(-g)]``, and the slope of each by the documents' scores.
 
-    The loss of a score g against label 1 is softplus(-g), against -1 softplus(g).
+    The loss of a score g against label 1 is softplus(-g), which is softplus(g) - g, and against -1 softplus(g).
     """
     p, u = sample.positive, ~sample.positive
     g = np.bincount(sample.owner, w[sample.feature], len(p)) + b
     s = 1 / (1 + np.exp(-np.clip(g, -60, 60)))
-    up, down = np.logaddexp(0, g), np.logaddexp(0, -g)
-    first, second = prior * down[p].mean(), up[u].mean() - prior * up[p].mean()
-    slopes = []
-    for at_p, at_u in ((prior * (s - 1), None), (-prior * s, s)):
-        slope = np.zeros(len(p))
-        slope[p] = at_p[p] / p.sum()
-        if at_u is not None:
-            slope[u] = at_u[u] / u.sum()
-        slopes.append(np.append(np.bincount(sample.feature, slope[sample.owner], sample.n_features), slope.sum()))
-    return float(first), float(second), slopes[0], slopes[1]
+    loss = np.logaddexp(0, g)
+    first, second = prior * (loss[p] - g[p]).mean(), loss[u].mean() - prior * loss[p].mean()
+    rise, fall = np.zeros(len(p)), np.zeros(len(p))
+    rise[p] = prior * (s[p] - 1) / p.sum()
+    fall[p], fall[u] = -prior * s[p] / p.sum(), s[u] / u.sum()
+    return float(first), float(second), rise, fall
+
+
+def by_weight(sample: Sample, slope: np.ndarray) -> np.ndarray:
+    """The slope by each weight and the bias, from that by the documents' scores."""
+    return np.append(np.bincount(sample.feature, slope[sample.owner], sample.n_features), slope.sum())
 
 
 def nnpu(rows: list[np.ndarray], positive: np.ndarray, n_features: int, prior: float, rounds: int = 400, rate: float = 0.05, decay: float = 1e-4, beta: float = 0.0) -> tuple[np.ndarray, float]:
@@ -118,7 +119,7 @@ def nnpu(rows: list[np.ndarray], positive: np.ndarray, n_features: int, prior: f
     m, v = np.zeros(n_features + 1), np.zeros(n_features + 1)
     for t in range(1, rounds + 1):
         _, second, rise, fall = risk(sample, w, b, prior)
-        grad = (rise + fall if second >= -beta else -fall) + np.append(decay * w, 0.0)
+        grad = by_weight(sample, rise + fall if second >= -beta else -fall) + np.append(decay * w, 0.0)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]

@@ -136,6 +136,7 @@ def test_risk():
 
         first, second, rise, fall = toxicity.risk(sample, w, b, prior)
         assert (first, second) == pytest.approx(parts(w, b))
+        rise, fall = toxicity.by_weight(sample, rise), toxicity.by_weight(sample, fall)
         for i in range(7):
             step = np.zeros(7)
             step[i] = 1e-6
