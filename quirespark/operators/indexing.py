@@ -22,6 +22,8 @@ from quirespark.operators.search import plain_postings, with_keywords
 from quirespark.plans.match import Index
 
 BUCKETS = 64
+#: Documents whose postings of one bucket a task writes, about.
+SPLIT_DOCS = 200_000
 
 
 @dataclass(frozen=True)
@@ -68,7 +70,7 @@ class Segments:
     def _write(self, docs: DataFrame, rows: DataFrame, gone: DataFrame | None) -> int:
         spark = docs.sparkSession
         number = max(self.numbers(spark), default=-1) + 1
-        self._postings(rows, number)
+        self._postings(rows, number, docs.count())
         written = spark.read.schema(rows.schema).parquet(self._at(number, "postings"))
         written.groupBy("field", "doc_ref").agg((F.max("position").cast("long") + 1).alias("dl")).write.mode("overwrite").parquet(self._at(number, "lengths"))
         with_keywords(docs).write.mode("overwrite").parquet(self._at(number, "docs"))
@@ -76,8 +78,14 @@ class Segments:
         dead.distinct().write.mode("overwrite").parquet(self._at(number, "dead"))
         return number
 
-    def _postings(self, rows: DataFrame, number: int) -> None:
-        rows.repartition("field", "bucket").sortWithinPartitions("field", "bucket", "term", "doc_ref", "position").write.mode("overwrite").partitionBy("field", "bucket").parquet(self._at(number, "postings"))
+    def _postings(self, rows: DataFrame, number: int, n_docs: int) -> None:
+        """Write postings by field and bucket. A bucket is dealt to as many tasks, and files, as the number of documents asks for.
+
+        Dealing by a hash of the document also splits the postings of a word that every document has.
+        """
+        splits = max(1, -(-n_docs // SPLIT_DOCS))
+        dealt = rows.repartition("field", "bucket", F.pmod(F.xxhash64("doc_ref"), F.lit(splits)))
+        dealt.sortWithinPartitions("field", "bucket", "term", "doc_ref", "position").write.mode("overwrite").partitionBy("field", "bucket").parquet(self._at(number, "postings"))
 
     def _read(self, spark: SparkSession, numbers: list[int], table: str) -> DataFrame:
         frames = [spark.read.parquet(self._at(n, table)).withColumn("__segment", F.lit(n)) for n in numbers]
@@ -121,7 +129,7 @@ class Segments:
         """All live entries as one segment of a new index at ``path``, with its counts; nothing is analysed again."""
         found = self.open(spark)
         new = Segments(path, self.language, self.analyse, self.buckets)
-        new._postings(found.postings, 0)
+        new._postings(found.postings, 0, found.docs.count())
         found.lengths.write.mode("overwrite").parquet(new._at(0, "lengths"))
         found.docs.write.mode("overwrite").parquet(new._at(0, "docs"))
         found.docs.select("doc_ref").where(F.lit(False)).write.mode("overwrite").parquet(new._at(0, "dead"))

@@ -131,6 +131,26 @@ def test_written_index(spark, docs, tmp_path):
         assert "PartitionFilters: [" in plan and "bucket" in plan
 
 
+def test_split_buckets(spark, tmp_path, monkeypatch):
+    """Many documents: a bucket is written by several tasks, and a word that all have is in several files of its one folder."""
+    import glob
+
+    from quirespark.operators import indexing
+
+    monkeypatch.setattr(indexing, "SPLIT_DOCS", 100)
+    many = spark.range(1000).select(F.concat(F.lit("d"), "id").alias("doc_ref"), F.concat(F.lit("common w"), F.col("id") % 7).alias("text"))
+    index = Segments(f"file://{tmp_path}/s", buckets=4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else tables as small as this are put together
+    try:
+        index.upsert(many)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    folders = [glob.glob(f"{f}/*.parquet") for f in glob.glob(f"{tmp_path}/s/segment=00000000/postings/field=Text/bucket=*")]
+    assert 1 < len(folders) <= 4 and max(map(len, folders)) > 1
+    held = index.open(spark)
+    assert scores(held, c.Contains(("Text",), "common")).count() == 1000 and scores(held, c.Contains(("Text",), "common AND w3")).count() == 143
+
+
 def test_reindex(spark, docs, tmp_path):
     """Changed documents with their corrections; gone ones lose their entries; metadata alone leaves the texts as they were."""
     index = Segments(f"file://{tmp_path}/i")
