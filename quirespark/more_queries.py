@@ -329,7 +329,7 @@ def match_slop_repeated(spark, d):
 
 @query(f"WITH {TOK} SELECT count(DISTINCT doc_ref) AS total FROM tok WHERE starts_with(term, 'th')")
 def total_of_prefix(spark, d):
-    """A search whose words are counted against the bound of clauses first."""
+    """A prefix stands for more words the larger the corpus is; none are left out and the search is not refused."""
     return engine(spark, d).total(c.Contains(("Text",), "th*"))
 
 

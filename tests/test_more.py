@@ -3,9 +3,11 @@
 import dataclasses
 import zipfile
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from quirespark import queries
 from quirespark.errors import QueryTooComplex, UnparsableQuery
 from quirespark.functions import text as ft
 from quirespark.languages import ENGLISH, PLAIN, YIDDISH
@@ -88,6 +90,22 @@ def test_clauses(docs):
     assert search.Engine(search.index_of(docs), most_clauses=None).total(c.Contains(("Text",), "*")).first().total == 5
 
 
+def test_many_words_of_a_prefix(spark, tmp_path):
+    """A prefix alone may stand for more words than the bound of phrases; the whole count is that of the query's SQL."""
+    texts = [" ".join(f"th{i:x}" for i in range(at, at + 1000)) for at in range(0, 17000, 1000)] + ["of thus", "Th", "of no such word", "", None]
+    docs = spark.createDataFrame([(i, x, "en", "src1", len(x or "")) for i, x in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    own = duckdb.connect()
+    own.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert queries.queries()["total_of_prefix"](spark, str(tmp_path)).first().total == 19 == own.execute(queries.oracle_sql()["total_of_prefix"]).fetchone()[0]
+    engine = queries.engine(spark, str(tmp_path))
+    with pytest.raises(QueryTooComplex):
+        engine.total(c.Contains(("Text",), '"of th*"'))
+    assert dataclasses.replace(engine, most_in_phrase=None).total(c.Contains(("Text",), '"of th*"')).first().total == 1
+    with pytest.raises(QueryTooComplex):
+        dataclasses.replace(engine, most_clauses=16384).total(c.Contains(("Text",), "th*"))
+
+
 def test_tree(docs):
     """Clauses are one pass: conjunctions, prohibitions, and what only prohibits."""
     assert asked(docs, "one AND two") == ["b", "e"] and asked(docs, "one NOT two") == ["a"] and asked(docs, "NOT two") == []
